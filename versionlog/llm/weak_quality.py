@@ -22,7 +22,7 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_calls")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_calls", "n_kinds")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -42,17 +42,18 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Seven rules over ``FEATURES``; each abstains between its two thresholds."""
-    n = F.col("n_words")
+    """Eight rules over ``FEATURES``.  Most know one fault and abstain without it; three also know good text.  ``n_kinds``: different words."""
+    n, never = F.col("n_words"), F.lit(False)
     length, symbols, letters, capitals = _share("word_chars", "n_words"), _share("n_symbols", "n_words"), _share("n_letters", "word_chars"), _share("n_capitals", "n_letters")
     return [
-        Rule("v_word_length", (n >= 5) & length.between(3.5, 7), (n >= 5) & ~length.between(2.5, 9)),
-        Rule("v_symbols", (n >= 5) & (symbols <= 0.02), symbols > 0.1),
-        Rule("v_letters", letters >= 0.9, (n >= 5) & (letters < 0.8)),
-        Rule("v_capitals", (F.col("n_letters") >= 20) & (capitals <= 0.1), (F.col("n_letters") >= 20) & (capitals > 0.3)),
-        Rule("v_calls", (n >= 20) & (_share("n_calls", "n_words") <= 0.05), (n >= 5) & (_share("n_calls", "n_words") > 0.25)),
-        Rule("v_lines", (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0), (F.col("n_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3)),
-        Rule("v_repeats", (n >= 20) & (_share("n_repeat_words", "n_words") <= 0.05), (n >= 20) & (_share("n_repeat_words", "n_words") > 0.25)),
+        Rule("v_word_length", (n >= 5) & length.between(4, 6.5), (n >= 5) & ~length.between(2.5, 9)),
+        Rule("v_symbols", never, symbols > 0.1),
+        Rule("v_letters", letters >= 0.94, (n >= 5) & (letters < 0.8)),
+        Rule("v_capitals", (F.col("n_letters") >= 20) & (capitals <= 0.05), (F.col("n_letters") >= 20) & (capitals > 0.3)),
+        Rule("v_calls", never, (n >= 5) & (_share("n_calls", "n_words") > 0.25)),
+        Rule("v_lines", never, (F.col("n_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3)),
+        Rule("v_kinds", never, n.between(20, 400) & (_share("n_kinds", "n_words") < 0.3)),
+        Rule("v_repeats", never, (n >= 20) & (_share("n_repeat_words", "n_words") > 0.25)),
     ]
 
 
@@ -86,49 +87,53 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.regexp_replace("__b", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.length(F.regexp_replace("__b", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
         (F.length("__b") - F.length(F.translate("__b", "!?", ""))).cast("long").alias("n_calls"),
+        F.size(F.array_distinct("__h")).cast("long").alias("n_kinds"),
     )
 
 
+Votes = tuple[int | None, ...]
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents, and each rule's chance of voting good given a good or a bad document."""
+    """Share of good documents, and each rule's log odds of good against bad by its vote."""
 
     prior: float
-    good_if_good: list[float]
-    good_if_bad: list[float]
+    odds: list[dict[int | None, float]]
 
     def posterior(self, rules: list[Rule]) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for rule, g, b in zip(rules, self.good_if_good, self.good_if_bad, strict=True):
-            odds = odds + F.when(F.col(rule.name) == 1, F.lit(math.log(g / b))).when(F.col(rule.name) == 0, F.lit(math.log((1 - g) / (1 - b)))).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+        z = F.lit(math.log(self.prior / (1 - self.prior)))
+        for rule, o in zip(rules, self.odds, strict=True):
+            v = F.col(rule.name)
+            z = z + F.when(v == 1, F.lit(o[1])).when(v == 0, F.lit(o[0])).otherwise(F.lit(o[None]))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit_votes(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, rounds: int = 60, smooth: float = 1.0) -> VoteModel:
-    """Expectation-maximisation over (votes, count) patterns; starts from the rules' majority.
+def fit_votes(patterns: list[tuple[Votes, int]], n_rules: int, rounds: int = 80, smooth: float = 0.5) -> VoteModel:
+    """Expectation-maximisation over (votes, count) patterns, begun with the rules' majority.
 
-    With no documents the prior is one half and every rule is believed by a factor of nine.
+    For good and for bad documents it estimates how often each rule votes good, bad, or abstains; the
+    accuracy of a rule is what follows from these.  A bad vote weighs twice at the start, as rules
+    that know faults speak up seldom.  With no documents all odds are even.
     """
     belief = []
     for votes, _ in patterns:
-        cast = [v for v in votes if v is not None]
-        belief.append((sum(cast) + 0.8) / (len(cast) + 1))
-    prior, g, b = 0.5, [0.9] * n_rules, [0.1] * n_rules
+        good, bad = sum(v == 1 for v in votes), sum(v == 0 for v in votes)
+        belief.append((good + 0.5) / (good + 2 * bad + 1))
+    prior, odds = 0.5, [dict.fromkeys((1, 0, None), 0.0) for _ in range(n_rules)]
+    total = sum(c for _, c in patterns)
     for _ in range(rounds if patterns else 0):
-        total = sum(c for _, c in patterns)
-        prior = (sum(p * c for p, (_, c) in zip(belief, patterns, strict=True)) + smooth) / (total + 2 * smooth)
+        weight = [(p * c, (1 - p) * c) for p, (_, c) in zip(belief, patterns, strict=True)]
+        good, bad = sum(g for g, _ in weight), sum(b for _, b in weight)
+        prior = (good + smooth) / (total + 2 * smooth)
         for r in range(n_rules):
-            seen = [(p * c, (1 - p) * c, v[r]) for p, (v, c) in zip(belief, patterns, strict=True) if v[r] is not None]
-            g[r] = (sum(x for x, _, v in seen if v) + 2 * smooth) / (sum(x for x, _, _ in seen) + 3 * smooth)
-            b[r] = (sum(y for _, y, v in seen if v) + smooth) / (sum(y for _, y, _ in seen) + 3 * smooth)
-        new = []
-        for votes, _ in patterns:
-            z = math.log(prior / (1 - prior))
-            for r, v in enumerate(votes):
-                z += 0 if v is None else math.log(g[r] / b[r]) if v else math.log((1 - g[r]) / (1 - b[r]))
-            new.append(1 / (1 + math.exp(-max(-700, min(700, z)))))
-        belief = new
-    return VoteModel(prior, g, b)
+            for vote in (1, 0, None):
+                g = sum(w[0] for w, (v, _) in zip(weight, patterns, strict=True) if v[r] == vote)
+                b = sum(w[1] for w, (v, _) in zip(weight, patterns, strict=True) if v[r] == vote)
+                odds[r][vote] = math.log((g + smooth) / (good + 3 * smooth)) - math.log((b + smooth) / (bad + 3 * smooth))
+        z = [math.log(prior / (1 - prior)) + sum(odds[r][v] for r, v in enumerate(votes)) for votes, _ in patterns]
+        belief = [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in z]
+    return VoteModel(prior, odds)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
