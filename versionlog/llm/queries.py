@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import bit_sliced_topk, mixing, token_counts, weak_quality
+from versionlog.llm import bit_sliced_topk, line_dedup, mixing, token_counts, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,11 +61,38 @@ def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten sites or more share."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "n_lines", "n_removed", "text")
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, coalesce('s' || source, 'z') AS site, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT line, min((doc_id, pos)) AS first FROM l
+  WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
+  GROUP BY line HAVING count(DISTINCT site) >= 10
+), k AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+  FROM (SELECT l.*, b.line IS NOT NULL AND (doc_id, pos) <> first AS gone FROM l LEFT JOIN b USING (line))
+  GROUP BY doc_id
+)
+SELECT d.doc_id, d.source, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op7_weak_quality": op7_weak_quality,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_bit_sliced_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_bit_sliced_topk": OP4_SQL, "op8_line_dedup": OP8_SQL}
