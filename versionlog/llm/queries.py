@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import bit_sliced_topk, line_dedup, mixing, token_counts, weak_quality
+from versionlog.llm import bit_sliced_topk, line_dedup, mixing, preference_chat, token_counts, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,12 +87,40 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in pairs of neighbouring ids, the even one chosen, as rendered turns."""
+    turns = table(spark, sf_dir, "conversations")
+    return preference_chat.segments(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+
+
+OP9_SQL = """
+WITH s AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS t,
+         count(*) FILTER (conv_id % 2 = 0) AS chosen, count(*) FILTER (conv_id % 2 <> 0) AS rejected
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
+), b AS (
+  SELECT *, min(turn) FILTER (chosen <> rejected) OVER (PARTITION BY pair_id) AS d FROM s
+), p AS (
+  SELECT *, 'prompt' AS part, chosen AS n FROM b WHERE d IS NULL OR turn < d
+  UNION ALL SELECT *, 'chosen', chosen FROM b WHERE turn >= d
+  UNION ALL SELECT *, 'rejected', rejected FROM b WHERE turn >= d
+), r AS (
+  SELECT *, unnest(range(1, n + 1)) AS copy, part <> 'prompt' AND role = 'assistant' AS loss FROM p WHERE n > 0
+)
+SELECT pair_id, part, turn, copy, role, '<|' || role || '|>' || chr(10) || t || '<|end|>' || chr(10) AS rendered,
+       CAST(CASE WHEN loss THEN length(role) + 5 ELSE 0 END AS BIGINT) AS loss_start,
+       CAST(CASE WHEN loss THEN length(role) + 5 + length(t) + 7 ELSE 0 END AS BIGINT) AS loss_end
+FROM r
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op7_weak_quality": op7_weak_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op9_preference_chat": op9_preference_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_bit_sliced_topk": OP4_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_bit_sliced_topk": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_preference_chat": OP9_SQL}
