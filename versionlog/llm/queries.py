@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import bit_sliced_topk, line_dedup, mixing, preference_chat, token_counts, weak_quality
+from versionlog.llm import bit_sliced_topk, line_dedup, mixing, packing, preference_chat, token_counts, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +114,11 @@ FROM r
 """
 
 
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_mix_sources": op5_mix_sources,
@@ -121,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op7_weak_quality": op7_weak_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_preference_chat": op9_preference_chat,
+    "op10_pack_documents": op10_pack_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_bit_sliced_topk": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_preference_chat": OP9_SQL}
