@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import bit_sliced_topk, line_dedup, mixing, packing, preference_chat, token_counts, weak_quality
+from versionlog.llm import bit_sliced_topk, language_id, line_dedup, mixing, packing, preference_chat, token_counts, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learned from those outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_language_id(docs, _remainder(3) != 1)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return language_id.identify(docs, model, extra=[held_out])
+
+
 def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector with all others."""
     return bit_sliced_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -120,6 +132,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_language_id": op3_language_id,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
