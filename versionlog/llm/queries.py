@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import bit_sliced_topk, language_id, line_dedup, mixing, packing, preference_chat, token_counts, weak_quality
+from versionlog.llm import bit_sliced_topk, language_id, line_dedup, mixing, order_minhash, packing, preference_chat, token_counts, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every whole document."""
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, learned from those outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -132,6 +137,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_language_id": op3_language_id,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_mix_sources": op5_mix_sources,
