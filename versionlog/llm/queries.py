@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.llm import bit_sliced_topk, language_id, line_dedup, mixing, order_minhash, packing, preference_chat, token_counts, weak_quality
+from versionlog.llm import bit_sliced_topk, language_id, line_dedup, lm_scoring, mixing, order_minhash, packing, preference_chat, token_counts, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,13 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of every whole document, learned outside the held-out seventh."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    learn = _remainder(7) != 2
+    return lm_scoring.score_texts(docs, learn, tokenizer_path("byte_bpe_50k.tiktoken"), extra=["held_out"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, learned from those outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -138,6 +145,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_lm_scores": op2_lm_scores,
     "op3_language_id": op3_language_id,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_mix_sources": op5_mix_sources,
