@@ -10,6 +10,7 @@ is packed anew, and so on until one partition is left.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,45 +27,67 @@ from versionlog.llm.common import stored
 CAPACITY = 2048
 #: Pieces of a first partition, and how many partitions' leftovers meet.
 PARTITION_PIECES, FAN_IN = 40_000, 16
-#: Words that a worker remembers the ids of.
-MEMORY = 150_000
+#: Words, and pieces of words, that a worker remembers the ids of.
+MEMORY = 400_000
 #: Words of one text that are tokenised together.
 RUN_WORDS = 50_000
 
 
-class WordEncoder:
-    """Ids of a tokenizers file whose pre-tokenizer never joins text across ASCII white space.
+#: Letters whose normalised form is one letter, and what else a plain word may hold: visible ASCII.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+#: How the pre-tokenizer cuts a plain word in lower case.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 
-    The ids of a text are then those of its words in turn, and words are few: each is given to the
-    library once while it is remembered.  ``splits`` tells whether the file has that property.
+
+class WordEncoder(dict):
+    """Ids (bytes of uint32) of words, for a tokenizers file whose pre-tokenizer never joins text across ASCII white space.
+
+    The ids of a text are then those of its words in turn, and words are few, so they are remembered.
+    A plain word that is new is cut into the pre-tokenizer's pieces, of which there are fewer still,
+    and only new pieces go to the library; any other new word goes to it as it is.  ``splits`` tells
+    whether the file has that property; texts are encoded whole if not.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        probe = ["a b", "it's  so\tlong\n1 2", " x ", "é ́a b"]
-        self.splits = all(self._ids(t) == [i for w in t.split() for i in self._ids(w)] for t in probe)
+        self.bare = Tokenizer.from_file(path)  # the same model for pieces that are normalised and cut already
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces: dict[str, bytes] = {}
+        probe = ["a b", "it's  so\tlong\n1 2", " x ", "\u00e9 \u0301a b", "Don't#1 \u00c9t\u00e9,x2"]
+        self.splits = all(self._ids(t) == [int(i) for r in self.runs(t, True) for i in r] for t in probe)
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def runs(self, text: str) -> Iterator[np.ndarray]:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            out = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
+        else:
+            out = np.array(self._ids(text), dtype=np.uint32).tobytes()
+        self[word] = out
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= MEMORY:
+            self.pieces.clear()
+        out = self.pieces[piece] = np.array(self.bare.encode(piece, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        return out
+
+    def runs(self, text: str, split: bool | None = None) -> Iterator[np.ndarray]:
         """The ids of the text, in runs of bounded length."""
-        if not self.splits:
+        if not (self.splits if split is None else split):
             yield np.asarray(self._ids(text), dtype=np.uint32)
             return
         every = text.encode().split()
         for at in range(0, len(every), RUN_WORDS):
-            part = every[at : at + RUN_WORDS]
-            new = list({w for w in part if w not in self.known})
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = list(set(part))
-            for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, part)), dtype=np.uint32)
+            yield np.frombuffer(b"".join(map(self.__getitem__, every[at : at + RUN_WORDS])), dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)
