@@ -1,0 +1 @@
+"""Versioned-record analytics on Spark: changelogs, merges, scans, sketches, runs and compaction."""
