@@ -1,10 +1,11 @@
 """Best-fit packing with certified bin counts.
 
 Documents are tokenised, cut at the capacity, and dealt into partitions.  Each partition packs best
-fit, largest first, and compares its bin count with lower bounds by dual feasible functions.  A
-partition whose count meets the bound and wastes less than its last bin is settled but for that bin;
-one with a gap hands over its emptiest bins as well.  What is handed over meets in fewer partitions,
-is packed anew, and so on until one partition is left.
+fit, largest first.  Lower bounds by dual feasible functions certify a bin count, of a partition or of
+all of them together.  While all together have a gap, partitions hand over their emptiest bins: only
+the last one where the partition's own count is certified and as good as full, else as many pieces as
+the next round can take.  What is handed over meets in fewer partitions and is packed anew, until the
+bound is met or one partition is left.
 """
 
 from __future__ import annotations
@@ -169,20 +170,20 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return bins, n
 
 
-def pack_group(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(bin of each item, whether its bin is handed over, bins, lower bound)."""
+def pack_group(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each item, whether its bin is handed over)."""
     bins, n = best_fit(sizes, capacity)
-    bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
     fill = np.bincount(bins, weights=sizes, minlength=n)
     give = np.zeros(n, dtype=bool)
     if not last and n:
         order = np.argsort(fill, kind="stable")
-        # With a gap, bins are handed over until their free room makes up for it twice.
-        free = np.cumsum(capacity - fill[order])
-        count = 1 if n == bound else int(np.searchsorted(free, 2 * (n - bound + 1) * capacity)) + 1
+        # Tight: the volume alone certifies the count, and only the last bin has room worth the name.
+        tight = n == -(-int(sizes.sum()) // capacity) and (n * capacity - sizes.sum()) <= (capacity - fill[order[0]]) * 1.5
+        held = np.cumsum(np.bincount(bins, minlength=n)[order])
+        count = 1 if tight else max(1, int(np.searchsorted(held, PARTITION_PIECES // FAN_IN, side="right")))
         give[order[:count]] = True
         give &= fill < capacity
-    return bins, give[bins] if n else give[:0], n, bound
+    return bins, give[bins] if n else give[:0]
 
 
 def pack(pieces_: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", report: list | None = None) -> DataFrame:
@@ -190,14 +191,17 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", r
 
     Full pieces are sequences of their own.  The rest go through rounds of at most ``FAN_IN`` times
     fewer partitions; only the pieces of handed-over bins move on.  ``report`` gets each round's
-    (partitions, bins, bound).  Repeated rows are packed as often as they occur; an empty table gives
+    (partitions, bins so far, bound).  Repeated rows are packed as often as they occur; an empty table gives
     an empty result.
     """
     cols = [id_col, "piece", "start", "length", "ids_crc32"]
     kind = dict(pieces_.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long, __give boolean, __g long"
     full = F.col("length") == capacity
-    n = pieces_.filter(~full).count()
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in pieces_.filter(~full).groupBy("length").count().collect():  # at most one row a length
+        counts[r["length"]] = r["count"]
+    n, bound, settled = int(counts.sum()), lower_bound(counts, capacity), 0
     groups = max(1, math.ceil(n / PARTITION_PIECES))
     # Numbers that are drawn, here and for the groups, are written down before they are used.
     done = [stored(pieces_.filter(full).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")), "full-pieces")]
@@ -208,7 +212,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", r
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # run before level and last change
             pdf = pdf.sort_values([id_col, "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
-            bins, give, _, _ = pack_group(pdf["length"].to_numpy(dtype=np.int64), capacity, last)
+            bins, give = pack_group(pdf["length"].to_numpy(dtype=np.int64), capacity, last)
             order = np.argsort(bins, kind="stable")
             size = pdf["length"].to_numpy(dtype=np.int64)[order]
             ahead = np.cumsum(size) - size
@@ -220,11 +224,14 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", r
             return out.assign(sequence_id=(level << 56) + (group << 24) + b, offset=ahead - base, __give=give[order])[[*cols, "sequence_id", "offset", "__give", "__g"]]
 
         placed = stored(rest.groupBy("__g").applyInPandas(fit, schema), f"packed-{level}")
+        bins = {r["__give"]: r["n"] for r in placed.groupBy("__give").agg(F.countDistinct("sequence_id").alias("n")).collect()}
         if report is not None:
-            report.append((groups, placed.select("sequence_id").distinct().count()))
-        done.append(placed.filter("not __give").select(*cols, "sequence_id", "offset"))
-        if last:
+            report.append((groups, settled + sum(bins.values()), bound))
+        if last or settled + sum(bins.values()) == bound:
+            done.append(placed.select(*cols, "sequence_id", "offset"))
             break
+        done.append(placed.filter("not __give").select(*cols, "sequence_id", "offset"))
+        settled += bins.get(False, 0)
         groups = math.ceil(groups / FAN_IN)
         rest = placed.filter("__give").select(*cols, F.pmod("__g", F.lit(groups)).alias("__g"))
         level += 1
