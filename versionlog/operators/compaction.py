@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versionlog.operators.indexing import bounds
 from versionlog.operators.merge import latest
 
 
@@ -28,7 +27,7 @@ def overfull(manifest: DataFrame, first: int, growth: int, leveled: bool, depth:
 
 def level_bounds(records: DataFrame) -> DataFrame:
     """``(level, run, min_key, max_key, records)``."""
-    return bounds(records, "run").join(records.select("run", "level").distinct(), "run").select("level", "run", "min_key", "max_key", "records")
+    return records.groupBy("level", "run").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count(F.lit(1)).alias("records"))
 
 
 def overlaps(manifest: DataFrame, level: int) -> DataFrame:
@@ -54,13 +53,14 @@ def size_tiered(records: DataFrame, level: int, depth: int) -> DataFrame:
 def leveled(records: DataFrame, level: int, depth: int) -> DataFrame:
     """The first run of ``level`` merged with the runs of the next level that it overlaps.
 
-    With none, the run moves down as it is.  Which runs those are is a question to the manifest only,
-    so the answer prunes the scan of the records.
+    With none, the run moves down as it is.  The chosen runs are few, one level of a manifest at most,
+    so they are found once and sent to the scan of the records.
     """
-    manifest = level_bounds(records)
-    first = manifest.filter(F.col("level") == level).agg(F.min("run").alias("run"))
-    upper = manifest.join(first, "run", "left_semi")
-    chosen = first.unionByName(overlaps(manifest.filter(F.col("level") > level).unionByName(upper), level).select(F.col("lower").alias("run")))
-    merged = latest(records.join(chosen, "run", "left_semi"))
+    manifest = level_bounds(records.filter(F.col("level").isin(level, level + 1)))
+    first = manifest.filter(F.col("level") == level).agg(F.min_by(F.struct("run", "min_key", "max_key"), "run").alias("f")).select("f.*")
+    below = manifest.filter(F.col("level") == level + 1).select(F.col("run").alias("r"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"))
+    met = first.join(below, (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo")), "left")
+    chosen = met.select(F.explode(F.array_compact(F.array("run", "r"))).alias("run")).distinct()
+    merged = latest(records.filter(F.col("level").isin(level, level + 1)).join(chosen, "run", "left_semi"))
     merged = merged if level + 1 < depth - 1 else merged.filter(~F.col("tombstone"))
     return merged.withColumn("level", F.lit(level + 1))
