@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlog.llm.common import stored
+from versionlog.llm.common import sliced, stored
 
 CAPACITY = 2048
 #: Pieces of a first partition, and how many partitions' leftovers meet.
 PARTITION_PIECES, FAN_IN = 40_000, 16
 #: Words, and pieces of words, that a worker remembers the ids of.
-MEMORY = 400_000
+MEMORY = 300_000
 #: Words of one text that are tokenised together.
 RUN_WORDS = 50_000
 
@@ -117,12 +117,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
-        for b in it:
-            ids, rows = b.column(0).to_pylist(), []
-            for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                rows += [(doc, *p) for p in pieces_of(enc.runs(text or ""), capacity, end)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=b.column(0).type), *(pa.array(c, type=pa.int64()) for c in cols[1:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
+        try:
+            for b in sliced(it):
+                ids, rows = b.column(0).to_pylist(), []
+                for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
+                    rows += [(doc, *p) for p in pieces_of(enc.runs(text or ""), capacity, end)]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=b.column(0).type), *(pa.array(c, type=pa.int64()) for c in cols[1:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
+        finally:  # the worker lives on, and may do other things
+            enc.clear()
+            enc.pieces.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, piece long, start long, length long, ids_crc32 long")

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from versionlog.llm.common import sliced
+
 #: Characters of a chunk and of an overlap; longer texts than a chunk are cut.
 CHUNK, OVERLAP = 32_768, 256
 #: Characters encoded in one call of the library, which bounds what a call holds.
@@ -142,7 +144,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model_file)
-        for b in it:
+        for b in sliced(it):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = enc.counts(texts)
             size = np.fromiter((len(t.encode()) for t in texts), dtype=np.int64, count=len(texts))
