@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from versionlog.llm.common import sliced
+
 #: Bytes of a window, units of either direction, windows that are run together.
 WINDOW, UNITS, BATCH = 96, 8, 1024
 #: Labelled documents that the network is fitted on at most, one window of each.
@@ -112,9 +114,10 @@ class ByteGru:
             np.add.at(d["table"][k], order.reshape(-1), dg_all[:, k].reshape(-1, 3 * u))
         return loss, d
 
-    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 4, batch: int = 128, rate: float = 0.02, seed: int = 11) -> ByteGru:
-        """Adam over shuffled batches of windows (x: bytes by window and place)."""
+    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 4, steps: int = 250, batch: int = 128, rate: float = 0.02, seed: int = 11) -> ByteGru:
+        """Adam over shuffled batches of windows (x: bytes by window and place), so many rounds and steps at least."""
         rng = np.random.default_rng(seed)
+        rounds = max(rounds, -(-steps // -(-len(x) // batch)))
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         total, step = rounds * -(-len(x) // batch), 0
         for _ in range(rounds):
@@ -176,6 +179,7 @@ def fit_language_id(docs: DataFrame, learn: Column, text_col: str = "text", lang
     rows = (
         docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
         .select(F.substring(F.col(text_col), (place + 1).cast("int"), F.lit(WINDOW)).alias("cut"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(4), text_col).alias("by"))
+        .groupBy("by", "lang").agg(F.min("cut").alias("cut"))  # copies of a text once
         .orderBy("by", "lang").limit(sample).collect()
     )
     if not rows:
@@ -196,7 +200,7 @@ def identify(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", tex
     schema = kept.drop("__t").schema.add("lang_pred", "string").add("score", "double")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             texts = b.column(0).to_pylist()
             worth = [k for k, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
