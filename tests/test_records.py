@@ -109,3 +109,24 @@ def test_numbers_and_running_sums_over_buckets(spark):
     assert [(r["ts"], r["seq"]) for r in got] == [x[:2] for x in rows]
     assert [r["n"] for r in got] == list(range(500))
     assert [r["start"] for r in got] == [sum(x[2] for x in rows[:i]) for i in range(500)]
+
+
+def test_codec(spark):
+    rows = [("é漢", "v", 1 << 50, False), ("", "", 0, False), ("k", "", 127, True), ("k" * 300, "w" * 200, 128, False)]
+    df = spark.createDataFrame(rows, "key string, value string, ts long, tombstone boolean").withColumn("crc", hashing.record_crc(F.col("key"), F.col("value")))
+    c = [F.col(x) for x in ("key", "value", "ts", "tombstone", "crc")]
+    got = df.select(
+        encoding.decode_log(encoding.log_bytes(*c)).alias("a"), encoding.decode_plain(encoding.plain_bytes(*c)).alias("b"),
+        encoding.varint_bytes(F.col("ts")).alias("v"),
+        (F.octet_length(encoding.plain_bytes(*c)) - encoding.plain_length(*c[:2], c[3])).alias("p"), (F.octet_length(encoding.log_bytes(*c)) - encoding.log_length(*c[:2])).alias("l"),
+        (F.octet_length(encoding.compressed_bytes(F.lit(7), c[1], c[2], c[3], c[4])) - encoding.compressed_length(c[4], c[2], c[1], c[3])).alias("z")).collect()
+    for r, want in zip(got, rows, strict=True):
+        assert tuple(r["a"])[:4] == tuple(r["b"])[:4] == want and r["a"]["crc"] == r["b"]["crc"]
+        assert (r["p"], r["l"], r["z"]) == (0, 0, 0)
+        n, out = want[2], []
+        while True:
+            out.append(n & 127 | (128 if n > 127 else 0))
+            n >>= 7
+            if not n:
+                break
+        assert bytes(r["v"]) == bytes(out)

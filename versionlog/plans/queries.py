@@ -225,6 +225,27 @@ def varint_lengths(spark: SparkSession, d: str) -> DataFrame:
     return base_log(spark, d).select("seq", "ts", encoding.varint_length(F.col("ts")).alias("ts_bytes"), encoding.varint_length(F.col("seq")).alias("seq_bytes"))
 
 
+_PLAIN = "printf('%016x', strlen(key)) || hex(key) || printf('%08x', crc) || printf('%016x', ts) || CASE WHEN tombstone THEN '01' ELSE '00' || printf('%016x', strlen(value)) || hex(value) END"
+_LOGGED = "printf('%08x', crc) || printf('%016x', ts) || CASE WHEN tombstone THEN '01' ELSE '00' END || printf('%016x', strlen(key)) || printf('%016x', strlen(value)) || hex(key) || hex(value)"
+_VARBYTES = "list_aggregate(list_transform(range(0, {1}), lambda i: printf('%02x', ((ts >> (7 * i)) & 127) + CASE WHEN i < {1} - 1 THEN 128 ELSE 0 END)), 'string_agg', '')"
+
+
+@query("crc", f"SELECT seq, lower({_PLAIN}) AS plain, lower({_LOGGED}) AS logged, {_VARBYTES.format('ts', _VARINT.format('ts'))} AS ts_varint FROM crc")
+def record_bytes(spark: SparkSession, d: str) -> DataFrame:
+    c = [F.col(x) for x in ("key", "value", "ts", "tombstone")]
+    crc = hashing.record_crc(c[0], c[1])
+    return base_log(spark, d).select("seq", *(F.lower(F.hex(x)).alias(n) for x, n in ((encoding.plain_bytes(*c, crc), "plain"), (encoding.log_bytes(*c, crc), "logged"), (encoding.varint_bytes(F.col("ts")), "ts_varint"))))
+
+
+@query("crc", "SELECT seq, key, value, ts, tombstone, crc::BIGINT AS crc FROM crc UNION ALL SELECT -seq - 1, key, value, ts, tombstone, crc::BIGINT FROM crc")
+def record_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    c = [F.col(x) for x in ("key", "value", "ts", "tombstone")]
+    log = base_log(spark, d).withColumn("crc", hashing.record_crc(c[0], c[1]))
+    logged = log.select("seq", encoding.decode_log(encoding.log_bytes(*c, F.col("crc"))).alias("r"))
+    plain = log.select((-F.col("seq") - 1).alias("seq"), encoding.decode_plain(encoding.plain_bytes(*c, F.col("crc"))).alias("r"))
+    return logged.unionByName(plain).select("seq", "r.*")
+
+
 @query("", "SELECT p_partkey, lpad(CAST(p_partkey + 1 AS VARCHAR), 4, '0') AS name FROM part WHERE p_partkey < 9999")
 def next_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(F.col("p_partkey") < 9999).select("p_partkey", encoding.next_name(F.col("p_partkey")).alias("name"))
