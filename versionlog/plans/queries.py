@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from versionlog.functions import encoding, hashing
 from versionlog.operators import catalog, compaction, indexing, integrity, merge, numbering, ratelimit, scan, simhash, sketches
 from versionlog.operators.cache import lru_hits
-from versionlog.schema import changelog, micros, unreserved
+from versionlog.schema import RECORD, changelog, micros, unreserved
+from versionlog.scratch import scratch
+from versionlog.sources import dictionary as dictionaries
 from versionlog.sources import log as wal
+from versionlog.sources import runs as stored_runs
 from versionlog.sources.runs import parse_manifest
 from versionlog.sources.workloads import cycling_puts
+from versionlog.streaming import flush as streams
+from versionlog.streaming import ratelimit as stream_ratelimit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -578,3 +583,51 @@ def workload_put100(spark: SparkSession, d: str) -> DataFrame:
 @query("", "SELECT CAST(i % 50000 AS VARCHAR) AS key, CAST(i % 50000 AS VARCHAR) AS value, i AS ts, i AS seq FROM range(50000, 100000) t(i)")
 def workload_put50000(spark: SparkSession, d: str) -> DataFrame:
     return merge.snapshot(cycling_puts(spark, 100_000, 50_000))
+
+
+# Written and read back, in batches and as streams
+
+
+@query("last", "SELECT key, value, ts, seq, tombstone FROM last WHERE key BETWEEN '2' AND '6'")
+def run_write_read(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs written and committed to a manifest, and a key range merged from what the manifest names."""
+    root, log = scratch(spark, "runs"), base_log(spark, d)
+    ids = [stored_runs.write_run(log.filter(F.col("seq") % 2 == r), root) for r in (0, 1)]
+    stored_runs.save_manifest(spark, root, [ids, [], []])
+    every = [r for level in stored_runs.load_manifest(spark, root) for r in level]
+    return merge.latest(stored_runs.read_runs(spark, root, every).filter(F.col("key").between("2", "6")))
+
+
+@query("last", "SELECT key, value, ts, seq, tombstone FROM last")
+def wal_write_read(spark: SparkSession, d: str) -> DataFrame:
+    """The log written with checksums in two appends, verified, and replayed from its start."""
+    root, log = scratch(spark, "log"), base_log(spark, d)
+    for r in (0, 1):
+        wal.append(log.filter(F.col("seq") % 2 == r), root)
+    return wal.replay(wal.read(spark, root), 0, SEGMENT)
+
+
+@query("dict", "SELECT key, id FROM dict")
+def dictionary_write_read(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch(spark, "dictionary")
+    dictionaries.save(indexing.dictionary(numbering.batches(base_log(spark, d), BATCH)), root)
+    return dictionaries.load(spark, root)
+
+
+@query("last", "SELECT key, value, ts, seq, tombstone FROM last")
+def stream_flush(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a stream of files, each flushed as a run; the runs merged."""
+    root = scratch(spark, "stream")
+    base_log(spark, d).repartition(3, "seq").write.parquet(f"{root}/log")
+    streams.flush(streams.log_stream(spark, f"{root}/log"), f"{root}/out", f"{root}/state").awaitTermination()
+    return merge.latest(spark.read.schema(RECORD).parquet(f"{root}/out/*"))
+
+
+@query("bucket", "SELECT key, seq, t, allowed FROM bucket")
+def stream_token_bucket(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch(spark, "bucket")
+    _requests(spark, d).write.parquet(f"{root}/in")
+    requests = spark.readStream.schema("key string, seq long, t long").parquet(f"{root}/in")
+    sink = stream_ratelimit.token_bucket(requests, 3, 7200).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("key", "seq", "t", "allowed")
