@@ -21,7 +21,7 @@ DP_WORDS = 1 << 15
 #: Rows of a table that may be broadcast (about 10 MB); a larger one is joined by shuffle.
 BROADCAST_ROWS = 150_000
 #: Documents of one source and size that are ranked together; larger groups are split by hash first.
-RANKED = 2_000
+RANKED = 250
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most: float = 2.0) -> list[float]:
