@@ -51,7 +51,7 @@ def test_word_memory_gives_the_library_ids():
     assert enc.splits
     for _ in range(2000):
         t = mixed(rng, rng.randint(0, 30))
-        assert [int(i) for r in enc.runs(t) for i in r] == enc.model.encode(t, add_special_tokens=False).ids
+        assert [int(i) for r in enc.runs(t.encode()) for i in r] == enc.model.encode(t, add_special_tokens=False).ids
 
 
 def test_lower_bound_and_best_fit():

@@ -29,7 +29,7 @@ CAPACITY = 2048
 #: Pieces of a first partition, and how many partitions' leftovers meet.
 PARTITION_PIECES, FAN_IN = 40_000, 16
 #: Words, and pieces of words, that a worker remembers the ids of.
-MEMORY = 300_000
+WORD_MEMORY, PIECE_MEMORY = 400_000, 300_000
 #: Words of one text that are tokenised together.
 RUN_WORDS = 50_000
 
@@ -51,24 +51,28 @@ class WordEncoder(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)  # the same model for pieces that are normalised and cut already
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merge = self.model.model.tokenize  # for pieces that are normalised and cut already
+        # The model writes each byte as one character, visible ASCII as itself; the pre-tokenizer tells the rest.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.high = {c: "".join(x for x, _ in level.pre_tokenize_str(c)) for c in map(chr, range(0xC0, 0x180))}
         self.pieces: dict[str, bytes] = {}
         probe = ["a b", "it's  so\tlong\n1 2", " x ", "\u00e9 \u0301a b", "Don't#1 \u00c9t\u00e9,x2"]
-        self.splits = all(self._ids(t) == [int(i) for r in self.runs(t, True) for i in r] for t in probe)
+        self.splits = all(self._ids(t) == [int(i) for r in self.runs(t.encode(), True) for i in r] for t in probe)
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= WORD_MEMORY:
             self.clear()
         text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if text.isascii() and text.isalpha():
+            text = text.lower()
+            out = self.pieces.get(text) or self._piece(text)
+        elif _PLAIN.fullmatch(text) and "<|" not in text:
             out = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
         else:
             out = np.array(self._ids(text), dtype=np.uint32).tobytes()
@@ -76,17 +80,18 @@ class WordEncoder(dict):
         return out
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= MEMORY:
+        if len(self.pieces) >= PIECE_MEMORY:
             self.pieces.clear()
-        out = self.pieces[piece] = np.array(self.bare.encode(piece, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        written = piece if piece.isascii() else "".join([self.high.get(c, c) for c in piece])
+        out = self.pieces[piece] = np.array([t.id for t in self.merge(written)], dtype=np.uint32).tobytes()
         return out
 
-    def runs(self, text: str, split: bool | None = None) -> Iterator[np.ndarray]:
-        """The ids of the text, in runs of bounded length."""
+    def runs(self, text: bytes, split: bool | None = None) -> Iterator[np.ndarray]:
+        """The ids of a text in UTF-8, in runs of bounded length."""
         if not (self.splits if split is None else split):
-            yield np.asarray(self._ids(text), dtype=np.uint32)
+            yield np.asarray(self._ids(text.decode()), dtype=np.uint32)
             return
-        every = text.encode().split()
+        every = text.split()
         for at in range(0, len(every), RUN_WORDS):
             yield np.frombuffer(b"".join(map(self.__getitem__, every[at : at + RUN_WORDS])), dtype=np.uint32)
 
@@ -117,16 +122,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
-        try:
-            for b in sliced(it):
-                ids, rows = b.column(0).to_pylist(), []
-                for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                    rows += [(doc, *p) for p in pieces_of(enc.runs(text or ""), capacity, end)]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=b.column(0).type), *(pa.array(c, type=pa.int64()) for c in cols[1:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
-        finally:  # the worker lives on, and may do other things
-            enc.clear()
-            enc.pieces.clear()
+        for b in sliced(it):
+            ids, rows = b.column(0).to_pylist(), []
+            for doc, text in zip(ids, b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                rows += [(doc, *p) for p in pieces_of(enc.runs(text or b""), capacity, end)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=b.column(0).type), *(pa.array(c, type=pa.int64()) for c in cols[1:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, piece long, start long, length long, ids_crc32 long")
