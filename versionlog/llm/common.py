@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-#: What separates words.
-GAP = r"[\x20\x09-\x0D]+"
-
+from versionlog.scratch import scratch
 
+#: What separates words: ASCII white space.
+GAP = r"[\x20\x09-\x0D]+"
 #: Rows that a Python worker turns into objects at a time.
 ROWS = 1000
 
@@ -41,28 +36,13 @@ def small_batches(spark: SparkSession, rows: int = 2 * ROWS) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Set here only where it is unset and the session is local; a cluster has to name one.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
-            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
-        path = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage.
 
     Lost executors do not lose it, and what reads it more than once does not compute it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("parquet.block.size", 32 << 20).parquet(path)  # writers hold a row group each
     return spark.read.schema(df.schema).parquet(path)
 
