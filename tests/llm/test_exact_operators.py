@@ -228,6 +228,19 @@ def test_fill_is_the_best_subset_sum():
     assert mixing.fill({}, 5) == mixing.fill({3: 2}, 0) == {}
 
 
+def test_fill_with_very_large_sizes():
+    def filled(counts, budget):
+        took = mixing.fill(counts, budget)
+        assert all(0 < k <= counts[s] for s, k in took.items())
+        return sum(s * k for s, k in took.items())
+
+    assert filled({150_000: 1, 100: 1000}, 200_000) == 200_000
+    assert filled({190_000: 3}, 200_000) == 190_000
+    assert filled({190_000: 3, 300_000: 1, 7: 1}, 200_000) == 190_007
+    assert filled({s: 1 for s in range(140_000, 200_000, 6_007)}, 700_000) == brute_best({s: 1 for s in range(140_000, 200_000, 6_007)}, 700_000)
+    assert filled({150_000: 40, 131_073: 30, 3_000_000: 5, 900: 4000, 7: 300}, 12_345_678) == 12_345_678
+
+
 def test_targets_are_reshared():
     assert mixing.targets([100, 100, 0], [3, 1, 2], 300) == [200.0, 100.0, 0.0]
     assert mixing.targets([10, 10], [1, 1], 1000) == [20.0, 20.0]

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versionlog.llm.common import n_words, stored
 
-#: Words that the dynamic programme fills at most in one go (bits of its table).
-DP_WORDS = 1 << 15
+#: Words of the table of the dynamic programme, at least; and with sizes above it, which are few in a budget.
+DP_WORDS, LARGE_DP_WORDS = 1 << 15, 1 << 22
 #: Rows of a table that may be broadcast (about 10 MB); a larger one is joined by shuffle.
 BROADCAST_ROWS = 150_000
 #: Documents of one source and size that are ranked together; larger groups are split by hash first.
@@ -44,45 +45,55 @@ def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most:
 
 
 def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many items of each size to take so that their sum is as near below ``budget`` as it can be.
+    """How many items of each size to take so that their sum is near below ``budget``.
 
-    Proportional first; then the largest sizes that still fit, down to ``DP_WORDS``; then bounded
-    knapsack by a bit set of reachable sums, with counts in binary parts.
+    Proportional first; then the largest sizes that still fit, down to a rest that is twice the
+    largest size at least; then bounded knapsack over all sums up to that rest, with counts in binary
+    parts.  A budget that is no larger than the rest is filled as well as it can be.
     """
-    total = sum(s * c for s, c in counts.items())
-    if budget <= 0 or total == 0:
+    if budget <= 0 or not any(counts.values()):
         return {}
-    if budget >= total:
+    if budget >= sum(s * c for s, c in counts.items()):
         return dict(counts)
-    # Two parts in DP_WORDS are held back, so that sizes of all kinds are left to fill with.
-    take = {s: c * max(budget - DP_WORDS // 2, 0) // total for s, c in counts.items() if s > 0}
+    counts = {s: c for s, c in counts.items() if 0 < s <= budget}  # no other fits
+    total = sum(s * c for s, c in counts.items())
+    if budget >= total:
+        return counts
+    largest = max(counts)
+    table = max(DP_WORDS, 2 * largest, LARGE_DP_WORDS if largest > DP_WORDS else 0)
+    # Part of the table is held back, so that sizes of all kinds are left to fill with.
+    take = {s: c * (budget - table // 2) // total if budget > table else 0 for s, c in counts.items()}
     rest = budget - sum(s * k for s, k in take.items())
     for s in sorted(take, reverse=True):
-        if rest <= DP_WORDS:
+        if rest <= table:
             break
-        more = min(counts[s] - take[s], (rest - DP_WORDS // 2) // s)
+        more = min(counts[s] - take[s], (rest - table // 2) // s)
         take[s] += max(more, 0)
         rest -= s * max(more, 0)
-    rest_max = min(rest, DP_WORDS * 4)
-    mask = (1 << (rest_max + 1)) - 1
     parts: list[tuple[int, int]] = []
     for s in sorted(take):
-        left, k = min(counts[s] - take[s], rest_max // s), 1
+        left, k = min(counts[s] - take[s], rest // s), 1
         while left > 0:
             parts.append((s, min(k, left)))
             left -= min(k, left)
             k *= 2
-    reach, steps = 1, []
-    for s, k in parts:
-        if reach >> rest_max & 1:
+    # Per sum the part that reached it first; what it was reached from had been reached by earlier parts.
+    by = np.full(rest + 1, -1, dtype=np.int32)
+    by[0] = len(parts)
+    top = 0
+    for i, (s, k) in enumerate(parts):
+        if by[rest] >= 0:
             break
-        steps.append(reach)
-        reach |= (reach << s * k) & mask
-    at = reach.bit_length() - 1
-    for (s, k), before in zip(reversed(parts[: len(steps)]), reversed(steps), strict=True):
-        if not before >> at & 1:
-            at -= s * k
-            take[s] += k
+        n = min(top, rest - s * k) + 1
+        if n > 0:
+            new = np.flatnonzero((by[:n] >= 0) & (by[s * k : s * k + n] < 0)) + s * k
+            by[new] = i
+            top = max(top, int(new[-1])) if len(new) else top
+    at = top
+    while at:
+        s, k = parts[by[at]]
+        take[s] += k
+        at -= s * k
     return {s: k for s, k in take.items() if k}
 
 
