@@ -92,6 +92,18 @@ def test_classes_match_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_pairs_in_a_bucket_of_many_different_texts_are_found(spark):
+    rng = random.Random(3)
+    passage, texts = words(rng, 140), []
+    for i in range(200):  # all share the passage, at 0.79; two at a time two words more, at 0.81
+        texts += [f"{passage} a{i} b{i} c{i}{x} {words(rng, 15)}" for x in "de"]
+    k = [order_minhash.kmers(order_minhash.split(t)) for t in texts]
+    assert all(order_minhash.similarity(k[i], k[i + 1]) >= 0.8 for i in range(0, 400, 2))
+    assert all(order_minhash.similarity(k[i], k[j]) < 0.8 for i in range(0, 400, 8) for j in range(400) if i // 2 != j // 2)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [i for i in range(400) if got[i] != i // 2 * 2] == []
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs):
     got = Counter((r["id"] if "id" in r else r["doc_id"], r["class_id"], r["is_first"]) for r in order_minhash.near_duplicates(odd_docs).collect())
     assert sum(got.values()) == odd_docs.count()
