@@ -214,6 +214,18 @@ def test_windows_score_each_id_once():
         assert got == pytest.approx(want / math.log(10), rel=1e-4)
 
 
+def test_ids_after_a_border_see_those_before_it():
+    m, _ = small_model()
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50, lm_scoring.CONTEXT + 2).astype(np.uint16)
+    seen = m.forward  # of the second window, only the place of the last id is scored
+    windows = []
+    m.forward = lambda w, keep=None: windows.append(w) or seen(w, keep)
+    m.score([ids])
+    assert windows[0][1][lm_scoring.CONTEXT - lm_scoring.STRIDE] == ids[lm_scoring.CONTEXT] and lm_scoring.CONTEXT - lm_scoring.STRIDE + 1 >= 5
+    assert m.p["w2"].shape == (32, 64) and lm_scoring.PAIRS >= 1_000_000
+
+
 def test_scores(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
