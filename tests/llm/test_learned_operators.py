@@ -13,7 +13,7 @@ from tests.llm.conftest import words
 from versionlog.llm import language_id, lm_scoring, order_minhash
 from versionlog.llm.components import components
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 # Near duplicates
@@ -164,66 +164,120 @@ def test_languages_of_odd_rows(spark, odd_docs):
 # Language model
 
 
-def small_model(vectors=None):
+def small_model(complete=True):
     rng = np.random.default_rng(1)
-    chunks = rng.integers(0, 50, (40, lm_scoring.CHUNK + 1)).astype(np.uint16)
-    starts = np.arange(lm_scoring.SIZE) % 2 == 0
-    v, k = lm_scoring.classes_of(chunks, lm_scoring.SIZE, starts)
-    flat = chunks.astype(np.uint32)
-    pairs, often = np.unique((flat[:, :-1] * np.uint32(lm_scoring.SIZE) + flat[:, 1:]).reshape(-1), return_counts=True)
-    counts = np.bincount(chunks.reshape(-1), minlength=lm_scoring.SIZE).astype(float)
-    t = lm_scoring.Tables(k, v, counts, pairs, often.astype(np.float32))
-    return lm_scoring.AttentionModel(lm_scoring.AttentionModel.fresh(lm_scoring.CLASSES), t), chunks
+    ids = np.concatenate([[lm_scoring.END], rng.integers(0, 300, 6000), [lm_scoring.END]])
+    pair, n = np.unique(ids[:-1] * lm_scoring.SIZE + ids[1:], return_counts=True)
+    a, b, counts = pair // lm_scoring.SIZE, pair % lm_scoring.SIZE, np.bincount(ids[1:], minlength=lm_scoring.SIZE).astype(float)
+    v, k = lm_scoring.classes_of(a, b, n, counts, np.argsort(-counts, kind="stable")[:64], np.arange(lm_scoring.SIZE) % 2 == 0)
+    cell, at = np.unique(a * lm_scoring.CLASSES + k[b], return_inverse=True)
+    classes = np.column_stack([cell // lm_scoring.CLASSES, cell % lm_scoring.CLASSES, np.bincount(at, weights=n), np.bincount(at)])
+    held = slice(None) if complete else slice(0, len(pair), 2)
+    t = lm_scoring.Tables(k, v, counts, classes, pair[held], n[held].astype(float), complete)
+    flat = lm_scoring.AttentionModel.fresh()
+    flat += 0.1 * np.random.default_rng(7).standard_normal(len(flat)).astype(np.float32)
+    return lm_scoring.AttentionModel(flat, t), ids[1:-1].astype(np.uint16)
 
 
 def test_attention_gradients():
-    m, chunks = small_model()
+    m, ids = small_model()
     m.tables.vectors = m.tables.vectors.astype(np.float64)
-    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    w = chunks[:3, : lm_scoring.CONTEXT + 1]
-    _, d = m.gradients(w[:, :-1], w[:, 1:])
+    m = lm_scoring.AttentionModel(m.flat.astype(np.float64), m.tables)
+    c, s = lm_scoring.CONTEXT, lm_scoring.STRIDE
+    slabs, weight = np.stack([ids[: c + 2 * s], ids[500 : 500 + c + 2 * s]]), np.random.default_rng(4).random(6 * s)
+    targets = np.concatenate([ids[c - s + 1 : c + 2 * s + 1], ids[500 + c - s + 1 : 500 + c + 2 * s + 1]])
+    _, d = m.gradients(slabs, targets, weight)
+    d = lm_scoring.AttentionModel(d, m.tables).p
     for k in m.p:
         i = np.unravel_index(np.abs(d[k]).argmax(), d[k].shape)
-        assert numeric(lambda: m.gradients(w[:, :-1], w[:, 1:])[0], m.p, k, i, 1e-4) == pytest.approx(d[k][i], rel=1e-2)
+        assert numeric(lambda: m.gradients(slabs, targets, weight)[0], m.p, k, i, 1e-4) == pytest.approx(d[k][i], rel=1e-2)
 
 
 def test_next_id_probabilities_sum_to_one():
-    m, chunks = small_model()
-    before = np.full(lm_scoring.SIZE, int(chunks[0, 3]), dtype=np.uint16)
-    within = np.exp(m.tables.log_within(before, np.arange(lm_scoring.SIZE, dtype=np.uint16)).astype(np.float64))
-    z = m.forward(chunks[:1, : lm_scoring.CONTEXT])[-1].astype(np.float64)
-    p = np.exp(z - np.log(np.exp(z).sum()))
-    assert np.bincount(m.tables.class_of, weights=within, minlength=lm_scoring.CLASSES)[np.unique(m.tables.class_of)] == pytest.approx(1, abs=1e-3)
-    assert (within * p[m.tables.class_of]).sum() == pytest.approx(1, abs=1e-3)
-
-
-def test_windows_score_each_id_once():
-    m, _ = small_model()
-    rng = np.random.default_rng(2)
-    c, s = lm_scoring.CONTEXT, lm_scoring.STRIDE
-    texts = [rng.integers(0, 60, n).astype(np.uint16) for n in (2, 5, c, c + 1, c + 2, c + s, c + s + 1, 200)]
-    for ids, got in zip(texts, m.score(texts), strict=True):
-        want, done, at = 0.0, 0, 0
-        while done < len(ids) - 1:
-            w = ids[at : at + c + 1]
-            z = m.forward(np.concatenate([w[:-1], np.zeros(c - len(w) + 1, dtype=np.uint16)])[None, :])[: len(w) - 1].astype(np.float64)
-            y = w[1:]
-            logp = z[np.arange(len(y)), m.tables.class_of[y]] - np.log(np.exp(z).sum(axis=1)) + m.tables.log_within(w[:-1], y)
-            want += logp[done - at :].sum()
-            done, at = at + len(y), at + s
-        assert got == pytest.approx(want / math.log(10), rel=1e-4)
-
-
-def test_ids_after_a_border_see_those_before_it():
-    m, _ = small_model()
-    rng = np.random.default_rng(3)
-    ids = rng.integers(0, 50, lm_scoring.CONTEXT + 2).astype(np.uint16)
-    seen = m.forward  # of the second window, only the place of the last id is scored
-    windows = []
-    m.forward = lambda w, keep=None: windows.append(w) or seen(w, keep)
-    m.score([ids])
-    assert windows[0][1][lm_scoring.CONTEXT - lm_scoring.STRIDE] == ids[lm_scoring.CONTEXT] and lm_scoring.CONTEXT - lm_scoring.STRIDE + 1 >= 5
-    assert m.p["w2"].shape == (32, 64) and lm_scoring.PAIRS >= 1_000_000
+    m, ids = small_model()
+    c, s, size = lm_scoring.CONTEXT, lm_scoring.STRIDE, lm_scoring.SIZE
+    klass = m.tables.group.astype(int) * lm_scoring.MEMBERS + m.tables.member
+    within = np.exp(m.tables.log_within(np.full(size, ids[c - 1]), np.arange(size, dtype=np.uint16))[0].astype(np.float64))
+    used, first = np.unique(klass, return_index=True)
+    targets = np.zeros((len(used), s), dtype=np.int64)
+    targets[:, -1] = first
+    p = np.exp(m.log_classes(np.repeat(ids[None, :c], len(used), axis=0), targets.reshape(-1)).reshape(-1, s)[:, -1].astype(np.float64))
+    assert p.sum() == pytest.approx(1, abs=1e-3)
+    assert np.bincount(klass, weights=within)[used] == pytest.approx(1, abs=5e-3)
+
+
+def test_windows_score_each_id_once_after_half_a_window_of_context():
+    m, every = small_model()
+    c, s, end = lm_scoring.CONTEXT, lm_scoring.STRIDE, lm_scoring.END
+    texts = [np.concatenate([[end], every[: n - 2], [end]]).astype(np.uint16) for n in (2, 3, 5, s, s + 1, s + 2, c, c + 1, c + 2, 200)]
+    got, _, loose = m.score(np.concatenate(texts), np.array([len(x) for x in texts]))
+    assert len(loose) == 0
+    for ids, score in zip(texts, got, strict=True):
+        padded, want = np.concatenate([np.full(c - s, end), ids, np.full(c, end)]).astype(np.uint16), 0.0
+        for i in range(1, len(ids)):
+            a, k = (i - 1) // s * s, (i - 1) % s
+            seen = padded[a : a + c].copy()
+            seen[c - s + k + 1 :] = 7  # what comes later does not matter
+            targets = np.zeros(s, dtype=np.int64)
+            targets[k] = ids[i]
+            want += m.log_classes(seen[None], targets)[k] + m.tables.log_within(ids[i - 1 : i], ids[i : i + 1])[0][0]
+        assert score == pytest.approx(want / math.log(10), rel=1e-4)
+
+
+def test_pairs_that_are_not_held_are_listed():
+    m, every = small_model(complete=False)
+    full, _ = small_model()
+    ids = np.concatenate([[lm_scoring.END], every[:500], [lm_scoring.END]]).astype(np.uint16)
+    score, owner, pair = m.score(ids, np.array([len(ids)]))
+    known = set(m.tables.held.keys.tolist())
+    assert sorted(pair.tolist()) == sorted(p for p in (ids[:-1].astype(np.int64) * lm_scoring.SIZE + ids[1:]).tolist() if p not in known) and set(owner) == {0}
+    low = m.tables.log_low(pair // lm_scoring.SIZE, pair % lm_scoring.SIZE).sum()
+    right = full.tables.log_within(pair // lm_scoring.SIZE, pair % lm_scoring.SIZE)[0].sum()
+    assert score[0] + (right - low) / math.log(10) == pytest.approx(full.score(ids, np.array([len(ids)]))[0][0], rel=1e-5)
+
+
+def test_ids_give_back_words():
+    enc = lm_scoring.SubwordIds(RANKS)
+    begins = enc.begins()
+    rng = random.Random(6)
+    odd = ["a", "Ab\u00a0", "\u00a0", "\u2003x", "é漢", "x" * 50, "it's", "\x1c", "1 2", "\u0085b", "🎉"]
+    texts = [lm_scoring.words(" ".join(rng.choice(odd) for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+    ids = [enc.ids(w) for w in texts]
+    text, h = lm_scoring._words_of(np.concatenate(ids), np.array([len(x) for x in ids]), begins)
+    names = {}
+    assert np.bincount(text, minlength=300).tolist() == [len(w) + 1 for w in texts]
+    for w, x in zip([w for t in texts for w in [*t, b"\n"]], h.tolist(), strict=True):
+        assert names.setdefault(w, x) == x
+    assert len(set(names.values())) == len(names)
+
+
+def test_lookup_holds_what_it_was_given():
+    rng = np.random.default_rng(5)
+    for kind in (np.uint32, np.int64):
+        keys = np.unique(rng.integers(0, 1 << 31, 5000).astype(kind))
+        found, new = lm_scoring.Lookup(keys[::2], np.arange(len(keys[::2])))(keys)
+        assert found[::2].tolist() == list(range(len(keys[::2]))) and sorted(new.tolist()) == list(range(1, len(keys), 2))
+    assert lm_scoring.Lookup(keys[:0], keys[:0])(keys)[1].tolist() == list(range(len(keys)))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_held_out_scores_beat_the_unigram(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = lm_scoring.score_texts(docs.withColumn("held", held), ~held, RANKS, extra=["held"])
+    r = got.filter("held").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r["s"] / r["n"] > r["b"] / r["n"] + {"0.01": 0.0, "0.1": 0.15}[sf]
+
+
+def test_joined_words_and_pairs_give_the_same_scores(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learn = F.col("doc_id") % 4 != 0
+    rows = lambda: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm_scoring.score_texts(docs, learn, RANKS).collect()}
+    want = rows()
+    monkeypatch.setattr(lm_scoring, "PAIRS", 500)
+    monkeypatch.setattr(lm_scoring, "COMMON_WORDS", 50)
+    got = rows()
+    assert {k: pytest.approx(v, rel=1e-5) for k, v in want.items()} == got
 
 
 def test_scores(spark, odd_docs):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def tokenizer_path(name: str) -> str:
-    """Where a public vocabulary file lies: ``TOKENIZER_DIR`` if set, else the installed package."""
-    if folder := os.environ.get("TOKENIZER_DIR"):
-        return os.path.join(folder, name)
+    """Where the installed package has a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -39,7 +36,7 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and model scores of every whole document, learned outside the held-out seventh."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
     learn = _remainder(7) != 2
-    return lm_scoring.score_texts(docs, learn, tokenizer_path("byte_bpe_50k.tiktoken"), extra=["held_out"])
+    return lm_scoring.score_texts(docs, learn, tokenizer_path("byte_bpe_multi_50k.tiktoken"), extra=["held_out"])
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
