@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -28,12 +29,34 @@ def lcs(a, b):
     return row[-1]
 
 
+def banded_lcs(a, b, band):
+    """By the whole table; matches outside the band do not count."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y and abs(i - j) <= band else max(row[j + 1], row[j])
+    return row[-1]
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(1)
-    for _ in range(150):
-        a = np.array([rng.randint(0, 9) for _ in range(rng.randint(1, 40))], dtype=np.uint64)
-        b = np.array([rng.randint(0, 9) for _ in range(rng.randint(1, 40))], dtype=np.uint64)
-        assert order_minhash.common_in_order(a, b, 100) == lcs(a.tolist(), b.tolist())
+    for _ in range(300):
+        a, b = ([rng.randint(0, 9) for _ in range(rng.randint(1, 40))] for _ in range(2))
+        at, to = (np.array(x, dtype=np.int64) for x in zip(*[(i, j) for j, y in enumerate(b) for i in range(len(a) - 1, -1, -1) if a[i] == y] or [(0, 10**6)], strict=True))
+        for band in (0, 2, 7, 100):
+            assert order_minhash.common_in_order(at, to, band) == banded_lcs(a, b, band)
+        assert banded_lcs(a, b, 100) == lcs(a, b)
+
+
+def test_very_long_texts_are_aligned_in_bounded_memory():
+    w = [f"w{i}".encode() for i in range(200_000)]
+    a, moved = order_minhash.kmers(w), order_minhash.kmers(w[:20_000] + w[30_000:] + w[20_000:30_000])
+    tracemalloc.start()
+    near, far = order_minhash.similarity(a, moved), order_minhash.similarity(a, order_minhash.kmers(w[100_000:] + w[:100_000]))
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert near == pytest.approx((199_996 - 10_000) / (199_996 + 10_000), rel=1e-3) and far < 0.8
 
 
 def test_similarity_needs_the_same_order():
@@ -176,7 +199,9 @@ def small_model(complete=True):
     t = lm_scoring.Tables(k, v, counts, classes, pair[held], n[held].astype(float), complete)
     flat = lm_scoring.AttentionModel.fresh()
     flat += 0.1 * np.random.default_rng(7).standard_normal(len(flat)).astype(np.float32)
-    return lm_scoring.AttentionModel(flat, t), ids[1:-1].astype(np.uint16)
+    m = lm_scoring.AttentionModel(flat, t)
+    m.for_scoring()
+    return m, ids[1:-1].astype(np.uint16)
 
 
 def test_attention_gradients():
@@ -184,8 +209,8 @@ def test_attention_gradients():
     m.tables.vectors = m.tables.vectors.astype(np.float64)
     m = lm_scoring.AttentionModel(m.flat.astype(np.float64), m.tables)
     c, s = lm_scoring.CONTEXT, lm_scoring.STRIDE
-    slabs, weight = np.stack([ids[: c + 2 * s], ids[500 : 500 + c + 2 * s]]), np.random.default_rng(4).random(6 * s)
-    targets = np.concatenate([ids[c - s + 1 : c + 2 * s + 1], ids[500 + c - s + 1 : 500 + c + 2 * s + 1]])
+    w, weight = np.lib.stride_tricks.sliding_window_view(ids, c + 1)[[0, 40, 500]], np.random.default_rng(4).random(3 * s)
+    slabs, targets = w[:, :-1], w[:, c - s + 1 :].reshape(-1)
     _, d = m.gradients(slabs, targets, weight)
     d = lm_scoring.AttentionModel(d, m.tables).p
     for k in m.p:
@@ -201,7 +226,7 @@ def test_next_id_probabilities_sum_to_one():
     used, first = np.unique(klass, return_index=True)
     targets = np.zeros((len(used), s), dtype=np.int64)
     targets[:, -1] = first
-    p = np.exp(m.log_classes(np.repeat(ids[None, :c], len(used), axis=0), targets.reshape(-1)).reshape(-1, s)[:, -1].astype(np.float64))
+    p = np.exp([float(m.log_classes(ids[:c], t)[-1]) for t in targets])
     assert p.sum() == pytest.approx(1, abs=1e-3)
     assert np.bincount(klass, weights=within)[used] == pytest.approx(1, abs=5e-3)
 
@@ -220,10 +245,18 @@ def test_windows_score_each_id_once_after_half_a_window_of_context():
             seen[c - s + k + 1 :] = 7  # what comes later does not matter
             targets = np.zeros(s, dtype=np.int64)
             targets[k] = ids[i]
-            want += m.log_classes(seen[None], targets)[k] + m.tables.log_within(ids[i - 1 : i], ids[i : i + 1])[0][0]
+            want += m.log_classes(seen, targets)[k] + m.tables.log_within(ids[i - 1 : i], ids[i : i + 1])[0][0]
         assert score == pytest.approx(want / math.log(10), rel=1e-4)
 
 
+def test_training_and_scoring_see_the_same_hidden_layer():
+    m, ids = small_model()
+    c, s = lm_scoring.CONTEXT, lm_scoring.STRIDE
+    slab = ids[: c + 4 * s]
+    windows = np.lib.stride_tricks.sliding_window_view(slab, c)[::s]
+    assert m.hidden(windows)[0] == pytest.approx(m.hidden_of(slab), abs=1e-5)
+
+
 def test_pairs_that_are_not_held_are_listed():
     m, every = small_model(complete=False)
     full, _ = small_model()
