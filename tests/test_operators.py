@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from versionlog.config import Config
-from versionlog.operators import catalog, compaction, indexing, integrity, merge, ratelimit, simhash, sketches
+from versionlog.functions import encoding
+from versionlog.operators import catalog, compaction, indexing, integrity, merge, numbering, ratelimit, simhash, sketches
 from versionlog.operators.cache import lru_hits
 from versionlog.schema import RECORD
 from versionlog.sources import dictionary, runs
@@ -69,7 +70,7 @@ def test_simhash_edges_and_near_pairs(spark):
     f = {r["doc_id"]: r["fingerprint"] for r in simhash.fingerprints(docs).collect()}
     assert f[1] == f[2] and f[3] == f[4] == 0
     prints = spark.createDataFrame([(1, 0), (2, 0b111), (3, -1), (4, (1 << 63) - 1), (5, 0)], "doc_id long, fingerprint long")
-    assert sorted(map(tuple, simhash.near(prints).collect())) == [(1, 2, 3), (3, 4, 1)]
+    assert sorted(map(tuple, simhash.near(prints).collect())) == [(1, 2, 3), (1, 5, 0), (3, 4, 1)]
     with pytest.raises(ValueError):
         simhash.near(prints, 4)
 
@@ -202,3 +203,21 @@ def test_flush_stream_writes_a_run_per_batch(spark, tmp_path):
 def test_corrupt_records_are_found(spark):
     df = spark.createDataFrame([("k", "v", 1), ("k", "v", None)], "key string, value string, crc long")
     assert integrity.corrupt(df).count() == 2
+
+
+def test_tombstones_stay_while_the_bottom_holds_their_key(spark):
+    rows = [(6, 1, "a", "old", 1, 1, False), (5, 2, "a", "", 2, 2, True), (5, 3, "b", "", 2, 3, True), (5, 2, "c", "new", 2, 4, False)]
+    levels = spark.createDataFrame(rows, "level int, run int, key string, value string, ts long, seq long, tombstone boolean")
+    got = {r["key"]: r["tombstone"] for r in compaction.size_tiered(levels, 5, 7).collect()}
+    assert got == {"a": True, "c": False}
+
+
+def test_rows_without_time_are_numbered_first(spark):
+    log = spark.createDataFrame([(3, 1), (None, 2), (10**10, 3), (None, 4)], "ts long, seq long")
+    got = {r["seq"]: (r["n"], r["start"]) for r in numbering.numbered(log, F.floor(F.col("ts") / 1000), ["ts", "seq"], size=F.col("seq")).collect()}
+    assert got == {2: (0, 0), 4: (1, 2), 1: (2, 6), 3: (3, 7)}
+
+
+def test_names_are_not_cut(spark):
+    names = spark.createDataFrame([(None,), ("9",), ("0998",), ("9999",), ("123456",)], "last string").select(encoding.next_name(F.col("last")).alias("n"))
+    assert [r["n"] for r in names.collect()] == ["0001", "0010", "0999", "10000", "123457"]

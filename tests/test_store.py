@@ -88,3 +88,11 @@ def test_rate_limit(spark, tmp_path):
     assert s.range("a", "b").count() == 1
     clock.now += 11
     assert s.get("a").count() == 1
+
+
+def test_reserved_keys_fail_every_call(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        s.get("bloomFilter_x")
+    with pytest.raises(ValueError):
+        s.delete(spark.createDataFrame([("simhash_x",)], "key string"))

@@ -38,8 +38,9 @@ def display(key: Column, value: Column, tombstone: Column) -> Column:
 
 
 def next_name(last: Column, width: int = 4) -> Column:
-    """The name after ``last``: a counter padded with zeros."""
-    return F.lpad((F.coalesce(last.cast("int"), F.lit(0)) + 1).cast("string"), width, "0")
+    """The name after ``last``: a counter of at least ``width`` digits."""
+    digits = (F.coalesce(last.cast("long"), F.lit(0)) + 1).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
 
 
 def _fixed(n: Column, width: int) -> Column:

@@ -1,7 +1,7 @@
 """Levels of runs: capacity, overlap, and the two ways to compact.
 
 ``records`` has (level, run, key, value, ts, seq, tombstone).  A tombstone goes only when its merge
-lands on the bottom level.
+lands on the bottom level and nothing that it hides can be left there.
 """
 
 from __future__ import annotations
@@ -44,9 +44,15 @@ def misordered(manifest: DataFrame) -> DataFrame:
 
 
 def size_tiered(records: DataFrame, level: int, depth: int) -> DataFrame:
-    """All runs of ``level`` as one run of the next level."""
+    """All runs of ``level`` as one run of the next level.
+
+    Runs that are on the bottom level already are not in the merge, so tombstones go only for keys that these do not hold.
+    """
     merged = latest(records.filter(F.col("level") == level))
-    merged = merged if level + 1 < depth - 1 else merged.filter(~F.col("tombstone"))
+    if level + 1 == depth - 1:
+        below = records.filter(F.col("level") == level + 1).select(F.col("key").alias("held")).distinct()
+        kept = merged.filter("tombstone").join(below, F.col("key") == F.col("held"), "left_semi")
+        merged = merged.filter("NOT tombstone").unionByName(kept)
     return merged.withColumn("level", F.lit(level + 1))
 
 

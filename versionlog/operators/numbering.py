@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 def numbered(df: DataFrame, bucket: Column, order: list[str | Column], size: Column | None = None, name: str = "n", bytes_name: str = "start") -> DataFrame:
     """``df`` with the row's number ``name`` from 0 and, given ``size``, the sum ``bytes_name`` of sizes before it.
 
-    ``bucket`` must not decrease along ``order``, and is not null.
+    ``bucket`` must not decrease along ``order``; rows whose bucket is null come first.
     """
-    rows = df.withColumn("__b", bucket).withColumn("__s", F.lit(0).cast("long") if size is None else size.cast("long"))
+    rows = df.withColumn("__b", F.struct(bucket.alias("b"))).withColumn("__s", F.lit(0).cast("long") if size is None else size.cast("long"))
     totals = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"), F.sum("__s").alias("__t"))
     ahead = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("__b", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__sum"))

@@ -17,17 +17,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fingerprint)``: bit i is set if words with that bit of their hash weigh more than those without.
 
     Words are runs between white space of more than two bytes, weighed by their count; a text without
-    such words has fingerprint 0.  Sums of all 64 bits are kept in one row, so a text's words meet in
-    one aggregation that combines before the shuffle.
+    such words has fingerprint 0.  How often each bit is set is summed two bits to a number, so a text's
+    words meet in one aggregation of 32 sums that combines before the shuffle.
     """
     words = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"\s+"), lambda w: F.octet_length(w) > 2)
     each = docs.select(id_col, F.explode_outer(words).alias("w"))
     hashed = each.withColumn("h", md5_i64(F.col("w")))
-    votes = [F.sum(F.when(F.col("h").isNotNull(), 2 * F.getbit("h", F.lit(i)).cast("int") - 1)).alias(f"b{i}") for i in range(64)]
-    sums = hashed.groupBy(id_col).agg(*votes)
+    both = F.lit(1 << 32 | 1)
+    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(both)).alias(f"b{i}") for i in range(32)]
+    sums = hashed.groupBy(id_col).agg(F.count("w").alias("n"), *votes)
     value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    for i in range(32):
+        low, high = F.col(f"b{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"b{i}", 32)
+        for bit, set_ in ((i, low), (i + 32, high)):
+            value = value.bitwiseOR(F.when(2 * set_ > F.col("n"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select(id_col, value.alias("fingerprint"))
 
 
@@ -41,9 +44,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def near(prints: DataFrame, distance: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """``(a, b, distance)`` of different fingerprints within ``distance`` (at most 3), by their least ids.
+    """``(a, b, distance)`` of different fingerprints within ``distance`` (at most 3), by their least ids, and of members.
 
-    Texts of equal fingerprints are one node (join back on the fingerprint for members).  Two
+    Texts of equal fingerprints are one node; each but the least is paired with that at distance 0.  Two
     fingerprints that differ in three bits differ in three of six blocks at most, so they meet in one
     of the 20 choices of three blocks, each a key of 32 bits or so.
     """
@@ -55,4 +58,6 @@ def near(prints: DataFrame, distance: int = 3, id_col: str = "doc_id") -> DataFr
     keyed = nodes.withColumn("key", F.explode(F.array(*keys)))
     a, b = (keyed.select("key", F.col("id").alias(x), F.col("fingerprint").alias(f"f{x}")) for x in "ab")
     met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= distance))
-    return met.select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
+    pairs = met.select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
+    same = prints.join(nodes.withColumnRenamed("id", "a"), "fingerprint").filter(F.col(id_col) != F.col("a"))
+    return pairs.unionByName(same.select("a", F.col(id_col).alias("b"), F.lit(0).alias("distance")))

@@ -251,9 +251,9 @@ def record_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return logged.unionByName(plain).select("seq", "r.*")
 
 
-@query("", "SELECT p_partkey, lpad(CAST(p_partkey + 1 AS VARCHAR), 4, '0') AS name FROM part WHERE p_partkey < 9999")
+@query("", "SELECT p_partkey, printf('%04d', 7 * p_partkey + 1) AS name FROM part")
 def next_name(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").filter(F.col("p_partkey") < 9999).select("p_partkey", encoding.next_name(F.col("p_partkey")).alias("name"))
+    return table(spark, d, "part").select("p_partkey", encoding.next_name(7 * F.col("p_partkey")).alias("name"))
 
 
 @query("pos", f"SELECT seq, start::BIGINT AS start, (start // {SEGMENT})::BIGINT AS segment, ((start + 28 + strlen(key) + strlen(value)) // {SEGMENT})::BIGINT AS last_segment FROM pos")
@@ -390,6 +390,18 @@ def compact_to_bottom(spark: SparkSession, d: str) -> DataFrame:
     return compaction.size_tiered(runs, DEPTH - 2, DEPTH)
 
 
+#: What stands on the bottom level after a compaction must show the same as what stood on two levels before.
+BOTTOM = "SELECT key, value, ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM cl) WHERE rn = 1 AND NOT tombstone"
+
+
+@query("cl", BOTTOM)
+def compact_over_bottom(spark: SparkSession, d: str) -> DataFrame:
+    old = F.when(F.col("run") < 20, DEPTH - 1).otherwise(DEPTH - 2)
+    levels = runs_of(base_log(spark, d)).withColumn("level", old)
+    new = compaction.size_tiered(levels, DEPTH - 2, DEPTH).select(*RECORD.names)
+    return merge.snapshot(levels.filter(F.col("level") == DEPTH - 1).select(*RECORD.names).unionByName(new)).select("key", "value", "ts", "seq")
+
+
 # Sketches
 
 
@@ -490,6 +502,15 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
     return sketches.approx_distinct(base_log(spark, d), "key")
 
 
+@query("cl", "SELECT count(DISTINCT key) AS keys, true AS close FROM cl")
+def approx_distinct_error(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number, and whether the estimate is within a tenth of it."""
+    log = base_log(spark, d)
+    guess = sketches.approx_distinct(log, "key").select("estimate", F.lit(0).cast("long").alias("keys"))
+    both = guess.unionByName(log.agg(F.lit(0).cast("long").alias("estimate"), F.countDistinct("key").alias("keys"))).agg(F.max("estimate").alias("e"), F.max("keys").alias("keys"))
+    return both.select("keys", (10 * F.abs(F.col("e") - F.col("keys")) <= F.col("keys")).alias("close"))
+
+
 @query("cells", "SELECT 'countMinSketch_users' AS sketch, \"row\"::BIGINT AS \"row\", col, n FROM cells")
 def sketch_catalog(spark: SparkSession, d: str) -> DataFrame:
     log = base_log(spark, d)
@@ -511,7 +532,7 @@ def simhash_hamming(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", simhash.hamming(F.col("fa"), F.col("fb")).alias("distance"))
 
 
-@query("fp", "SELECT a.id AS a, b.id AS b, bit_count(xor(a.f, b.f))::INT AS distance FROM n a JOIN n b ON a.id < b.id AND bit_count(xor(a.f, b.f)) <= 3", "n AS MATERIALIZED (SELECT f, min(doc_id) AS id FROM fp GROUP BY f)")
+@query("fp", "SELECT a.id AS a, b.id AS b, bit_count(xor(a.f, b.f))::INT AS distance FROM n a JOIN n b ON a.id < b.id AND bit_count(xor(a.f, b.f)) <= 3 UNION ALL SELECT n.id, fp.doc_id, 0 FROM fp JOIN n USING (f) WHERE fp.doc_id <> n.id", "n AS MATERIALIZED (SELECT f, min(doc_id) AS id FROM fp GROUP BY f)")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near(simhash.fingerprints(table(spark, d, "documents")))
 

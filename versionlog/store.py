@@ -78,16 +78,21 @@ class Store:
         now = F.lit(int(self.clock() * 1_000_000))
         return changelog(df, F.col("key"), value, now, F.monotonically_increasing_id(), F.lit(tombstone))
 
+    @staticmethod
+    def _own(keys: DataFrame) -> None:
+        if not keys.filter(F.col("key").rlike("^(" + "|".join(RESERVED) + ")")).isEmpty():
+            raise ValueError("reserved key")
+
     def put(self, df: DataFrame) -> None:
         """Puts ``df(key, value)``; a reserved key fails the call.  One request, whatever the rows."""
         self.bucket.take()
-        if not df.filter(F.col("key").rlike("^(" + "|".join(RESERVED) + ")")).isEmpty():
-            raise ValueError("reserved key")
+        self._own(df)
         self._append(self._stamped(df, F.col("value"), False))
 
     def delete(self, df: DataFrame) -> None:
-        """Deletes the keys of ``df(key)``."""
+        """Deletes the keys of ``df(key)``; a reserved key fails the call."""
         self.bucket.take()
+        self._own(df)
         self._append(self._stamped(df, F.lit(""), True))
 
     # Reads
@@ -110,6 +115,8 @@ class Store:
 
     def get(self, key: str) -> DataFrame:
         self.bucket.take()
+        if key.startswith(RESERVED):
+            raise ValueError("reserved key")
         return scan.get(self.records(), key)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
