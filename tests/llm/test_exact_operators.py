@@ -300,25 +300,51 @@ def test_blocks_meet_once(spark, monkeypatch):
 # Chat
 
 
-def test_preference_pairs(spark):
+def brute_pairs(turns):
+    """Prompt, completions and masked words of each pair, turn by turn."""
+    sides = {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            sides.setdefault(conv // 2, ([], []))[conv % 2].append((turn is None, turn or 0, role or "", text or ""))
+    line = lambda x: f"<|{x[2]}|>\n{x[3]}<|end|>\n"
+    out = {}
+    for k, (good, bad) in sides.items():
+        good, bad = sorted(good), sorted(bad)
+        n = 0
+        while n < min(len(good), len(bad)) and good[n][2:] == bad[n][2:]:
+            n += 1
+        masks = tuple([x[3] + "<|end|>" for x in side[n:] if x[2] == "assistant"] for side in (good, bad))
+        out[k] = ("".join(map(line, good[:n])), "".join(map(line, good[n:])), "".join(map(line, bad[n:])), *masks)
+    return out
+
+
+def test_preference_pairs(spark, monkeypatch):
     turns = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "ok"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"),
         (2, 0, None, None), (2, 1, "assistant", "same"), (3, 1, "assistant", "same"), (3, 0, None, None), (4, 0, "user", "alone"), (None, 0, "user", "x"),
         (6, 0, "user", "r"), (6, 0, "user", "r"), (7, 0, "user", "r"), (8, None, "assistant", "last"), (8, 3, "user", "f"), (9, 3, "user", "f"),
+        (10, 0, "user", "q"), (10, 1, "assistant", "a"), (11, 1, "user", "q"), (11, 2, "assistant", "b"), (13, -5, "assistant", "only rejected"), (13, None, None, "é🎉"),
     ]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    parts = preference_chat.segments(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
-    got = {r["pair_id"]: r for r in preference_chat.assemble(parts).collect()}
-    assert got[0]["prompt"] == "<|user|>\nhi<|end|>\n"
-    assert got[0]["chosen"] == "<|assistant|>\nyes<|end|>\n<|user|>\nok<|end|>\n" and got[0]["rejected"] == "<|assistant|>\nno<|end|>\n"
-    (span,) = got[0]["chosen_loss"]
-    assert got[0]["chosen"][span["start"] : span["end"]] == "yes<|end|>"
-    assert got[1]["prompt"] == "<|" + "|>\n<|end|>\n<|assistant|>\nsame<|end|>\n" and got[1]["chosen"] == got[1]["rejected"] == "" and got[1]["chosen_loss"] == []
-    assert (got[2]["prompt"], got[2]["chosen"], got[2]["rejected"]) == ("", "<|user|>\nalone<|end|>\n", "")
-    assert got[3]["chosen"].count("r<") == 2 and got[3]["rejected"].count("r<") == 1
-    assert got[4]["prompt"] == "<|user|>\nf<|end|>\n" and got[4]["chosen"] == "<|assistant|>\nlast<|end|>\n"
-    assert set(got) == {0, 1, 2, 3, 4}
-    assert preference_chat.segments(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
+    rng = random.Random(8)
+    for conv in range(20, 60):
+        turns += [(conv, rng.choice([None, *range(-3, 40)]), rng.choice(["user", "assistant"]), rng.choice("ab")) for _ in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).withColumn("pos", F.lit(1))
+    args = F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0
+    want = brute_pairs(turns)
+    got = {r["pair_id"]: r for r in preference_chat.preference_pairs(df, *args).collect()}
+    assert set(got) == set(want) and {r["block"] for r in got.values()} == {0}
+    masked = lambda text, spans: [text[x["start"] : x["end"]] for x in spans]
+    for k, r in got.items():
+        assert (r["prompt"], r["chosen"], r["rejected"], masked(r["chosen"], r["chosen_loss"]), masked(r["rejected"], r["rejected_loss"])) == want[k]
+    assert got[5]["prompt"] == "<|user|>\nq<|end|>\n"  # whatever the turns are numbered
+    monkeypatch.setattr(preference_chat, "BLOCK", 4)
+    parts = {}
+    for r in sorted(preference_chat.preference_pairs(df, *args).collect(), key=lambda r: (r["pair_id"], r["block"])):
+        old = parts.get(r["pair_id"], ("", "", "", [], []))
+        new = (r["prompt"], r["chosen"], r["rejected"], masked(r["chosen"], r["chosen_loss"]), masked(r["rejected"], r["rejected_loss"]))
+        parts[r["pair_id"]] = tuple(a + b for a, b in zip(old, new, strict=True))
+    assert parts == want
+    assert preference_chat.preference_pairs(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op4_bit_sliced_topk", "op8_line_dedup", "op9_preference_chat"])

@@ -109,29 +109,39 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations in pairs of neighbouring ids, the even one chosen, as rendered turns."""
+    """All conversations in pairs of neighbouring ids, the even one chosen: prompt and two masked completions."""
     turns = table(spark, sf_dir, "conversations")
-    return preference_chat.segments(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
-
-
-OP9_SQL = """
-WITH s AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS t,
-         count(*) FILTER (conv_id % 2 = 0) AS chosen, count(*) FILTER (conv_id % 2 <> 0) AS rejected
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
-), b AS (
-  SELECT *, min(turn) FILTER (chosen <> rejected) OVER (PARTITION BY pair_id) AS d FROM s
-), p AS (
-  SELECT *, 'prompt' AS part, chosen AS n FROM b WHERE d IS NULL OR turn < d
-  UNION ALL SELECT *, 'chosen', chosen FROM b WHERE turn >= d
-  UNION ALL SELECT *, 'rejected', rejected FROM b WHERE turn >= d
-), r AS (
-  SELECT *, unnest(range(1, n + 1)) AS copy, part <> 'prompt' AND role = 'assistant' AS loss FROM p WHERE n > 0
+    out = preference_chat.preference_pairs(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+    spans = {c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",") for c in ("chosen_loss", "rejected_loss")}
+    return out.withColumns(spans)
+
+
+OP9_SQL = f"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, coalesce(role, '') AS role, coalesce(text, '') AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), paired AS (
+  SELECT pair_id, pos, a.pair_id IS NOT NULL AND b.pair_id IS NOT NULL AND a.role = b.role AND a.words = b.words AS same
+  FROM (SELECT * FROM t WHERE good) a FULL JOIN (SELECT * FROM t WHERE NOT good) b USING (pair_id, pos)
+), fork AS (
+  SELECT pair_id, min(pos) AS forked FROM paired WHERE same IS NOT TRUE GROUP BY pair_id
+), written AS (
+  SELECT t.*, pos // {preference_chat.BLOCK} AS block, (forked IS NULL OR pos < forked) AS shared,
+         concat('<|', role, '|>', chr(10), words, '<|end|>', chr(10)) AS line
+  FROM t LEFT JOIN fork USING (pair_id)
+), spaced AS (
+  SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, good, shared, block ORDER BY pos) - length(line) AS begun FROM written
+), masked AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN concat(begun + strlen('<|assistant|>') + 1, '-', begun + length(line) - 1) END AS span FROM spaced
 )
-SELECT pair_id, part, turn, copy, role, '<|' || role || '|>' || chr(10) || t || '<|end|>' || chr(10) AS rendered,
-       CAST(CASE WHEN loss THEN length(role) + 5 ELSE 0 END AS BIGINT) AS loss_start,
-       CAST(CASE WHEN loss THEN length(role) + 5 + length(t) + 7 ELSE 0 END AS BIGINT) AS loss_end
-FROM r
+SELECT pair_id::BIGINT AS pair_id, block::BIGINT AS block,
+       coalesce(string_agg(line, '' ORDER BY pos) FILTER (shared AND good), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY pos) FILTER (NOT shared AND good), '') AS chosen,
+       coalesce(string_agg(line, '' ORDER BY pos) FILTER (NOT shared AND NOT good), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT shared AND good), '') AS chosen_loss,
+       coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT shared AND NOT good), '') AS rejected_loss
+FROM masked GROUP BY ALL
 """
 
 
