@@ -251,4 +251,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
     A null or empty text is one piece with the end id alone.
     """
-    return pack(stored(pieces(docs, tokenizer, capacity, end, id_col, text_col), "all-pieces"), capacity, id_col)
+    return pack(stored(pieces(docs, tokenizer, capacity, end, id_col, text_col), "all-pieces"), capacity, id_col).withColumn("piece", F.col("piece").cast("int"))
