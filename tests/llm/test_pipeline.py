@@ -46,6 +46,9 @@ def test_repeated_ids_keep_one_row_each(spark):
     docs = docs_of(spark, [(1, t, "s"), (1, t, "s"), (2, t, "s"), (3, "other words stand in this one", "s"), (3, "and again some quite different ones", "s"), (None, "a text without any id at all", "s")])
     got = cp.keep_one_of_near_duplicates(spark, docs, "").collect()
     assert sorted((str(r["doc_id"]), r["text"][:3]) for r in got) == [("1", "one"), ("3", "and"), ("3", "oth"), ("None", "a t")]
+    a, b = "the first text has seven words here", "but another one has other words than that"
+    got = cp.keep_one_of_near_duplicates(spark, docs_of(spark, [(0, b, "s"), (1, a, "s"), (1, b, "s")]), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(0, b), (1, a)]
 
 
 @pytest.mark.parametrize("name,stage", cp.STAGES)
