@@ -33,15 +33,19 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate class; one row of equal ids in a class."""
-    classes = order_minhash.near_duplicates(docs)
-    first = classes.filter("is_first").select(F.col("doc_id").alias("__id"))
-    rows = first.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("__id").alias("ids"), F.count("__id").alias("known")).first()
-    if rows["n"] == rows["ids"] == rows["known"]:
-        return docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").select(*COLUMNS)
-    # Ids are null or repeat: rows are told apart by id and text, and one of equal rows stays.
-    kept = docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.groupBy("doc_id", "text").agg(*(F.first(c).alias(c) for c in ("lang", "source", "n_chars"))).select(*COLUMNS)
+    """Keeps the document with the least id of each near-duplicate class.
+
+    Where ids are null or repeat, rows are told apart by id and a hash of the text: of several first rows
+    of a class the one with the least hash stays, and one of equal rows.
+    """
+    classes = order_minhash.near_duplicates(docs).filter("is_first").withColumnRenamed("doc_id", "__id")
+    first = classes.groupBy("class_id").agg(F.first("__id").alias("__id"), F.min("text_hash").alias("__hash"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.select("__id", F.coalesce("__hash", F.lit(0)).alias("__hash"), "n"), "first-of-class")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__hash"))
+    kept = docs.join(first.drop("n"), same, "left_semi").select(*COLUMNS)
+    if first.filter((F.col("n") > 1) | F.col("__id").isNull()).isEmpty():
+        return kept
+    return kept.withColumn("__h", F.xxhash64("text")).groupBy("doc_id", "__h").agg(*(F.first(c).alias(c) for c in COLUMNS if c != "doc_id")).select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
