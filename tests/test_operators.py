@@ -184,7 +184,8 @@ def test_compaction_keeps_tombstones_above_the_bottom(spark):
     cols = "level int, run long, key string, value string, ts long, seq long, tombstone boolean"
     df = spark.createDataFrame([(0, 0, "a", "1", 1, 1, False), (0, 1, "a", "", 2, 2, True), (0, 1, "b", "2", 1, 3, False), (1, 2, "a", "0", 0, 0, False), (1, 3, "x", "9", 0, 4, False)], cols)
     assert {(r["key"], r["tombstone"]) for r in compaction.size_tiered(df, 0, 7).collect()} == {("a", True), ("b", False)}
-    assert {r["key"] for r in compaction.size_tiered(df, 0, 2).collect()} == {"b"}
+    assert {(r["key"], r["tombstone"]) for r in compaction.size_tiered(df, 0, 2).collect()} == {("a", True), ("b", False)}  # the bottom holds a
+    assert {r["key"] for r in compaction.size_tiered(df.filter("run <> 2"), 0, 2).collect()} == {"b"}
     down = compaction.leveled(df, 0, 7).collect()
     assert [(r["key"], r["value"], r["level"]) for r in down] == [("a", "1", 1)]
     assert compaction.misordered(compaction.level_bounds(df)).count() == 0
