@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,10 +19,21 @@ ROWS = 1000
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``rows`` rows, which bounds what a worker holds as objects."""
+    """The batches in slices of at most ``rows`` rows, which bounds what a worker holds as objects.
+
+    At the end of a task what it has freed goes back to the system, as workers live on for other tasks.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 @contextmanager
