@@ -35,12 +35,12 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate class.
 
-    Where ids are null or repeat, rows are told apart by id and a hash of the text: of several first rows
-    of a class the one with the least hash stays, and one of equal rows.
+    Where ids are null or repeat, rows are told apart by id and a hash of the text, and one of equal rows
+    stays.  Alike texts that share their class's least id all stay.
     """
     classes = order_minhash.near_duplicates(docs).filter("is_first").withColumnRenamed("doc_id", "__id")
-    first = classes.groupBy("class_id").agg(F.first("__id").alias("__id"), F.min("text_hash").alias("__hash"), F.count(F.lit(1)).alias("n"))
-    first = stored(first.select("__id", F.coalesce("__hash", F.lit(0)).alias("__hash"), "n"), "first-of-class")
+    first = classes.groupBy("__id", F.coalesce("text_hash", F.lit(0)).alias("__hash")).agg(F.count(F.lit(1)).alias("n"))
+    first = stored(first, "first-of-class")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__hash"))
     kept = docs.join(first.drop("n"), same, "left_semi").select(*COLUMNS)
     if first.filter((F.col("n") > 1) | F.col("__id").isNull()).isEmpty():
