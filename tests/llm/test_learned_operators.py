@@ -127,6 +127,37 @@ def test_pairs_in_a_bucket_of_many_different_texts_are_found(spark):
     assert [i for i in range(400) if got[i] != i // 2 * 2] == []
 
 
+def test_alike_pairs_among_many_that_share_most_are_found(spark, monkeypatch):
+    whole = order_minhash.sketch
+    monkeypatch.setattr(order_minhash, "sketch", lambda x: whole(x[:300], 2))  # all are in one bucket
+    rng, texts = random.Random(5), []
+    opening = words(rng, 350)
+    for i in range(4):  # those with the same middle part are at 0.79, two at a time share eight words more
+        middle = words(rng, 180)
+        for j in range(25):
+            own = words(rng, 8)
+            texts += [f"{opening} {middle} {own} {words(rng, 64)}" for _ in range(2)]
+    k = [order_minhash.kmers(order_minhash.split(t)) for t in texts]
+    assert all(order_minhash.similarity(k[i], k[j]) >= 0.8 if j == i + 1 and i % 2 == 0 else order_minhash.similarity(k[i], k[j]) < 0.8 for i in range(200) for j in range(i + 1, 200))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [i for i in range(200) if got[i] != i // 2 * 2] == []
+
+
+def test_no_alike_pair_is_ruled_out(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 7)
+    rng, texts = random.Random(6), []
+    for _ in range(8):
+        base = words(rng, 90).split()
+        texts += [" ".join(edit(rng, base[: rng.randint(70, 90)], rng.randint(0, 9))) for _ in range(30)]
+    texts = sorted(set(texts))
+    k = [order_minhash.kmers(order_minhash.split(t)) for t in texts]
+    alike = {(i, j) for i in range(len(k)) for j in range(i + 1, len(k)) if order_minhash.similarity(k[i], k[j]) >= 0.8}
+    rows = [(i.to_bytes(2), i, bytearray(x.tobytes())) for i, x in enumerate(k)]
+    pairs = order_minhash._possible(spark.createDataFrame(rows, "node binary, root long, kmers binary"), 0.8).collect()
+    got = {(int.from_bytes(r["u"]), int.from_bytes(r["v"])) for r in pairs}
+    assert alike and alike <= got and len(pairs) == len(got) < len(k) * (len(k) - 1) // 2
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs):
     got = Counter((r["id"] if "id" in r else r["doc_id"], r["class_id"], r["is_first"]) for r in order_minhash.near_duplicates(odd_docs).collect())
     assert sum(got.values()) == odd_docs.count()

@@ -13,8 +13,11 @@ centre, and neither is shorter than it, so they have k-mers in common that the c
 would share no more than the one shares with the centre.  So all nodes meet a centre once more and are dealt
 anew by the least of these k-mers, and in the new buckets, which hold texts that share something that
 sets them apart, the nodes of other components are compared with one of them.  All this is linear in the
-nodes.  It is no proof: alike texts stay apart if they are both unlike the centre and shorter, or if no
-centre of their new buckets brings them together.
+nodes, and leaves apart alike texts that are both unlike the centre and shorter, or that no centre of their
+new buckets brings together.  So all pairs of other components of what is still divided are settled exactly:
+the k-mers of each node are put in one order, the rare ones first.  From the place of the first k-mer that
+two nodes share follows how many they can share at most; where that is enough they are aligned, and
+elsewhere they are surely not alike.  No two nodes that share a sketch and align end in different classes.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ TOGETHER = 2000
 #: Of the k-mers that a node has beside its centre, so many times the inverse of the share that must recur in
 #: what is like it are kept, the least: all are missed with a probability of exp(-14).
 SURE = 14
+#: Numbers by which k-mers are counted to tell rare ones; nodes of a k-mer that meet as many others in one
+#: task; rows that are searched for pairs together; pairs with a node that are aligned in one task.
+BINS, BLOCK, SEARCHED, ALIGNED = 1 << 24, 400, 16_000, 100
 #: Words whose hashes a worker remembers, and k-mers up to which all sketches are taken at once.
 MEMORY, AT_ONCE = 200_000, 1 << 16
 
@@ -169,6 +175,37 @@ def beside(x: np.ndarray, centre: np.ndarray, least: float) -> tuple[float, np.n
     return s, keys[: 2 * SURE if s >= least else max(1, SURE * len(keys) // recur)]
 
 
+def rarest(x: np.ndarray, often: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(k-mers, the rare ones first, how many k-mers a text may have whose first shared one with ``x`` this is, if it is like ``x``).
+
+    ``often`` is an order of the BINS numbers of k-mers, 0 for those that no other text has.  If the first
+    k-mer that two texts share stands at place p of the n of one, they share n - p at most, which
+    is too few for the other if it is longer than given here.  All that is left out is too late for any text.
+    """
+    n, rank = len(x), often[x >> np.uint64(40)]
+    order = np.lexsort((x, rank))
+    most = np.floor((n - np.arange(n)) * ((1 + least) / least) - n + 1e-6).astype(np.int64)
+    kept = (most >= least * n - 1e-6) & (rank[order] > 0)
+    return x[order[kept]], most[kept]
+
+
+def pairs_within(cell: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows of one cell that have other roots, other sides (or -1) and no more k-mers than either allows.
+
+    Rows of a cell stand together.
+    """
+    end = np.searchsorted(cell, cell, side="right")
+    at, d, us, vs = np.arange(len(cell)), 1, [], []
+    while len(at := at[at + d < end[at]]):
+        to = at + d
+        ok = (n[to] <= most[at]) & (n[at] <= most[to]) & (root[at] != root[to]) & ((side[at] < 0) | (side[at] != side[to]))
+        us.append(at[ok])
+        vs.append(to[ok])
+        d += 1
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_hash, node, n_kmers, keys)``: a digest of the words, and the sketch hashes of every whole text."""
 
@@ -256,7 +293,7 @@ def _classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
 
 def _settle(members: DataFrame, texts: DataFrame, links: DataFrame, root_of: DataFrame, least: float) -> DataFrame:
     """Components after the buckets of ``members(key, node, size)`` that hold several are dealt anew and compared."""
-    level = stored(_divided(members, root_of), "divided")
+    divided = level = stored(_divided(members, root_of), "divided")
     if level.isEmpty():
         return root_of
     texts = stored(texts.join(level.select("node").distinct(), "node", "left_semi"), "texts")
@@ -271,9 +308,98 @@ def _settle(members: DataFrame, texts: DataFrame, links: DataFrame, root_of: Dat
     drawn = F.struct(F.xxhash64("key", "node").alias("by"), F.col("node"), F.col("node_root").alias("root"))
     centres = level.groupBy("key").agg(F.max(drawn).alias("of"), F.max("size").alias("size")).select("key", "size", F.col("of.node").alias("c"), F.col("of.root").alias("c_root"))
     pairs = stored(_pairs(_met(level, centres).filter(F.col("node_root") != F.col("c_root"))), "pairs")
+    links = stored(links.unionByName(verify(pairs, texts, least).select("u", "v")), "found")
+    return _settle_rest(divided, texts, links, components(links), least)
+
+
+def _settle_rest(divided: DataFrame, texts: DataFrame, links: DataFrame, root_of: DataFrame, least: float) -> DataFrame:
+    """Components after all nodes of different ones in the buckets of ``divided`` have been compared, or are surely not alike."""
+    apart = _divided(divided, root_of).select("node", F.xxhash64("node_root").alias("root")).distinct()
+    nodes = stored(apart.join(texts, "node").select("node", "root", "kmers"), "rest")
+    if nodes.isEmpty():
+        return root_of
+    pairs = stored(_possible(nodes, least), "possible")
+    both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    n = stored(both.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "possible-sizes")
+    met = pairs.join(n.select(F.col("node").alias("u"), F.struct("n", "node").alias("a")), "u").join(n.select(F.col("node").alias("v"), F.struct("n", "node").alias("b")), "v")
+    few, many = F.least("a", "b"), F.greatest("a", "b")  # the one of more pairs as centre
+    pairs = met.select(few["node"].alias("u"), many["node"].alias("v"), (many["n"] * (TOGETHER // ALIGNED)).alias("size"))
     return components(stored(links.unionByName(verify(pairs, texts, least).select("u", "v")), "found"))
 
 
+def _frequencies(nodes: DataFrame) -> np.ndarray:
+    """How often k-mers of ``nodes`` fall into each of BINS numbers, as eight times the logarithm to base 2."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(it):
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint64)
+            k, n = np.unique((x >> np.uint64(40)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int32))], names=["bin", "n"])
+
+    counts = nodes.select("kmers").mapInArrow(batches, "bin int, n int").groupBy("bin").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = counts.select("bin", F.least(F.lit(255), F.ceil(8 * F.log2("n"))).cast("short").alias("often")).toArrow()
+    often = np.zeros(BINS, dtype=np.uint8)
+    often[got.column("bin").to_numpy()] = got.column("often").to_numpy()
+    return often
+
+
+def _possible(nodes: DataFrame, least: float) -> DataFrame:
+    """``(u, v)``: all pairs of ``nodes(node, root, kmers)`` of different roots that may be alike by the first k-mer that they share.
+
+    The nodes of a frequent k-mer are dealt to blocks of BLOCK, of which each two meet in a task.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(_frequencies(nodes))
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(it):
+            x = [np.frombuffer(k, dtype=np.uint64) for k in b.column(2).to_pylist()]
+            got = [rarest(k, shared.value, least) for k in x]
+            of = np.repeat(np.arange(len(x)), [len(k) for k, _ in got])
+            n = np.fromiter(map(len, x), dtype=np.int64, count=len(x))
+            keys, most = (np.concatenate(c) for c in zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(n[of]), pa.array(most)], names=["key", "node", "root", "n", "most"])
+
+    rows = stored(nodes.mapInArrow(first, "key long, node binary, root long, n long, most long"), "rarest")
+    shared.unpersist()
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK)
+    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1).cast("long"))
+    dealt = rows.join(F.broadcast(large), "key", "left").withColumn("side", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    among = F.when(F.col("side") == F.col("other"), F.lit(-1)).otherwise(F.col("side")).alias("side")
+    cells = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), among, "node", "root", "n", "most")
+    ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def found(b: pa.RecordBatch, cell: np.ndarray) -> pa.RecordBatch:
+        u, v = pairs_within(cell, *(b.column(c).to_numpy() for c in ("side", "root", "n", "most")))
+        return pa.RecordBatch.from_arrays([b.column("node").take(pa.array(x)) for x in (u, v)], names=["u", "v"])
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in sliced(it):
+            held.append(b)
+            if sum(x.num_rows for x in held) >= SEARCHED:
+                b = pa.concat_batches(held)
+                cell = _cells(b)
+                last = int(np.searchsorted(cell, cell[-1]))  # more of the last cell may come
+                if last:
+                    yield found(b.slice(0, last), cell[:last])
+                held = [b.slice(last)]
+        if held:
+            b = pa.concat_batches(held)
+            yield found(b, _cells(b))
+
+    pairs = ordered.mapInArrow(search, "u binary, v binary")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _cells(b: pa.RecordBatch) -> np.ndarray:
+    """The number of each row's cell among those of the rows."""
+    new = np.zeros(b.num_rows, dtype=bool)
+    for c in ("key", "i", "j"):
+        x = b.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     """``(u, v, size)``: each node with each of its centres once."""
     return met.filter(F.col("node") != F.col("c")).groupBy(F.col("node").alias("u"), F.col("c").alias("v")).agg(F.max("size").alias("size"))
