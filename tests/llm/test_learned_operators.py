@@ -280,6 +280,23 @@ def test_windows_score_each_id_once_after_half_a_window_of_context():
         assert score == pytest.approx(want / math.log(10), rel=1e-4)
 
 
+def test_a_pass_of_training_predicts_each_id_once(monkeypatch):
+    m, every = small_model()
+    c, s, end = lm_scoring.CONTEXT, lm_scoring.STRIDE, lm_scoring.END
+    lengths = np.array([2, 3, s, s + 1, s + 2, c, c + 1, c + 2, 200, 1000])
+    texts = [np.concatenate([[end], every[: n - 2], [end]]).astype(np.uint16) for n in lengths]
+    seen, real = Counter(), m.gradients
+
+    def gradients(w, targets, weight):
+        before = w[:, c - s :].reshape(-1)[weight > 0]
+        seen.update(zip(before.tolist(), targets[weight > 0].tolist(), strict=True))
+        return real(w, targets, weight)
+
+    monkeypatch.setattr(m, "gradients", gradients)
+    m.learn(np.concatenate(texts), lengths, 0.01, 0.001)
+    assert seen == Counter((int(a), int(b)) for x in texts for a, b in zip(x[:-1], x[1:], strict=True))
+
+
 def test_training_and_scoring_see_the_same_hidden_layer():
     m, ids = small_model()
     c, s = lm_scoring.CONTEXT, lm_scoring.STRIDE

@@ -9,8 +9,8 @@ Classes and input vectors come from which ids stand next to each other.
 
 All pairs of neighbouring ids and all words of the training texts are counted.  Weights are trained in
 numpy: from a warm start on the driver, then on every id of every training text, in tasks whose weights
-are averaged.  A window is half context, half ids that it scores, so each id is scored once with
-CONTEXT - STRIDE ids before it at least.
+are averaged.  A window is half context, half ids that it scores; windows overlap by half, so each id is
+predicted once in a pass of training, and scored once, with CONTEXT - STRIDE ids before it at least.
 """
 
 from __future__ import annotations
@@ -351,19 +351,16 @@ class AttentionModel:
         return -float(loss), np.concatenate([d[k].reshape(-1) for k in SHAPES])
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray, rate: float, last_rate: float) -> None:
-        """Adam over windows of the texts that do not overlap, in a seeded order; the rate falls evenly to ``last_rate``.
+        """Adam over all windows of the texts, in a seeded order; the rate falls evenly to ``last_rate``.
 
-        Each text is read whole: of a window the first part is context only, the rest is predicted.
+        Each id but the first of a text is predicted once, by the window that scores it.
         """
         flat, _, valid = grid(ids, lengths)
         every = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT + 1)
-        rng = np.random.default_rng(self.steps)
-        order = rng.permutation(np.arange(rng.integers(CONTEXT // STRIDE), len(valid), CONTEXT // STRIDE))
+        order = np.random.default_rng(self.steps).permutation(np.flatnonzero(valid))
         for a in range(0, len(order), STEP):
             at = order[a : a + STEP]
             weight = (np.arange(STRIDE) < valid[at][:, None]).reshape(-1).astype(np.float32)
-            if not weight.any():
-                continue
             w = every[at * STRIDE]
             _, g = self.gradients(w[:, :-1], w[:, CONTEXT - STRIDE + 1 :].reshape(-1), weight / weight.sum())
             lr = rate + (last_rate - rate) * a / len(order)
@@ -596,7 +593,7 @@ def fit_model(corpus: DataFrame, pairs: DataFrame, ranks_file: str) -> Attention
     if not drawn:
         return model
     ids, lengths = _ids_of([bytes(r["cut"]) for r in drawn])
-    rounds = max(2, WARM_STEPS * STEP * CONTEXT // len(ids))
+    rounds = max(2, WARM_STEPS * STEP * STRIDE // len(ids))
     for i in range(rounds):
         model.learn(ids, lengths, WARM_RATE * (1 - i / rounds), WARM_RATE * (1 - (i + 1) / rounds))
     return AttentionModel(_trained_on_all(learned, model), tables)
