@@ -305,6 +305,27 @@ def test_training_and_scoring_see_the_same_hidden_layer():
     assert m.hidden(windows)[0] == pytest.approx(m.hidden_of(slab), abs=1e-5)
 
 
+def test_no_place_needs_a_key_or_value_of_its_own():
+    m, ids = small_model()
+    c, s, dim = lm_scoring.CONTEXT, lm_scoring.STRIDE, lm_scoring.DIM
+    got, made = m.hidden(ids[None, :c])
+    p, x = m.p, m.tables.vectors[ids[:c]]
+    for k in range(s):
+        at = c - s + k
+        a = np.exp(x[at] @ p["q"] @ (x[: at + 1] @ p["k"]).T / math.sqrt(dim) + p["near"][at - np.arange(at + 1)])
+        own = np.concatenate([x[at], a / a.sum() @ (x[: at + 1] @ p["v"])])
+        assert got[k] == pytest.approx(np.tanh(own @ p["w1"] + p["b1"]), abs=1e-5)
+    assert not {"q", "k", "v"} & set(made) and not hasattr(m, "kv")
+
+
+def test_words_without_odd_spaces_need_no_looking_ahead():
+    enc, rng = lm_scoring.SubwordIds(RANKS), random.Random(7)
+    some = ["a", "it's", "'ll", "x" * 50, "1,2", "--", "\u00e9\u6f22", "\u00bd", "\x1b[0m", "\U0001f389", "\u0301a", "\u200b", "\ufeffz", "\u0663"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    assert [enc.plain.encode_ordinary(" " + t) for t in texts] == [enc.model.encode_ordinary(" " + t) for t in texts]
+    assert "(?!" not in enc.plain._pat_str
+
+
 def test_pairs_that_are_not_held_are_listed():
     m, every = small_model(complete=False)
     full, _ = small_model()

@@ -56,7 +56,9 @@ END = 50_256
 SIZE = END + 1
 #: White space of the pattern that is no white space between words.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+#: The rest of the pattern, for white space that no word follows at once.
+SPACES = r"|\s+(?!\S)|\s+"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -71,7 +73,9 @@ class SubwordIds:
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN + SPACES, mergeable_ranks=ranks, special_tokens={})
+        # Where single spaces stand before words only, PATTERN alone takes all, without looking ahead.
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def begins(self) -> np.ndarray:
         """Whether an id begins a word, or is the end."""
@@ -85,7 +89,7 @@ class SubwordIds:
             joined = (b" " + b" ".join(run)).decode()
             # White space within words could draw the next word's space into an id.
             odd = not (joined.isascii() and joined.isprintable()) and ODD_SPACE.search(joined)
-            out += [self.model.encode_ordinary(" " + w.decode()) for w in run] if odd else [self.model.encode_ordinary(joined)]
+            out += [self.model.encode_ordinary(" " + w.decode()) for w in run] if odd else [self.plain.encode_ordinary(joined)]
         return np.concatenate([np.array(x, dtype=np.uint16) for x in [*out, [END]]])
 
 
@@ -235,47 +239,55 @@ class AttentionModel:
         drawn = {k: rng.standard_normal(SHAPES[k]) / math.sqrt(SHAPES[k][0]) for k in ("q", "k", "v", "w1")}
         return np.concatenate([drawn.get(k, np.zeros(shape)).reshape(-1) for k, shape in SHAPES.items()]).astype(np.float32)
 
-    def _attended(self, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(exponentials of the attention scores, their reciprocal sums, attended values) of windows of queries, keys and values."""
-        a = q @ k.swapaxes(1, 2)
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """What makes queries that meet input vectors in place of keys, and what makes the hidden layer of an
+        input vector and attended input vectors.
+
+        Queries and keys are linear in the vectors, as are values and what the hidden layer takes from them, so
+        either two products are one matrix, and no place needs a key or value of its own.
+        """
+        p = self.p
+        return p["q"] @ p["k"].T * p["q"].dtype.type(1 / math.sqrt(DIM)), np.concatenate([p["w1"][:DIM], p["v"] @ p["w1"][DIM:]])
+
+    def _attended(self, q: np.ndarray, across: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exponentials of the attention scores, their reciprocal sums, attended input vectors) of windows of
+        queries and input vectors; ``across``: the vectors as columns."""
+        a = q @ across
         a += _biases(self.p["near"])
         np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        return a, 1 / (a.reshape(-1, CONTEXT) @ np.ones((CONTEXT, 1), dtype=a.dtype)), (a @ v).reshape(-1, DIM)
+        return a, 1 / (a.reshape(-1, CONTEXT) @ np.ones((CONTEXT, 1), dtype=a.dtype)), (a @ x).reshape(-1, DIM)
 
     def hidden(self, w: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The hidden layer at every scored place of the windows ``w``, and what led to it."""
         p, n = self.p, len(w)
         x = np.take(self.tables.vectors, w, axis=0)
         both = np.empty((n * STRIDE, 2 * DIM), dtype=x.dtype)
-        both[:, :DIM] = x[:, CONTEXT - STRIDE :].reshape(-1, DIM)
-        own, x = np.ascontiguousarray(both[:, :DIM]), x.reshape(-1, DIM)
-        q = (own @ (p["q"] * p["q"].dtype.type(1 / math.sqrt(DIM)))).reshape(n, STRIDE, DIM)
-        k, v = (x @ p["k"]).reshape(n, CONTEXT, DIM), (x @ p["v"]).reshape(n, CONTEXT, DIM)
-        a, share, o = self._attended(q, k, v)
+        own, across, (qk, w) = x[:, CONTEXT - STRIDE :].reshape(-1, DIM), np.ascontiguousarray(x.swapaxes(1, 2)), self._folded()
+        both[:, :DIM] = own
+        a, share, o = self._attended((own @ qk).reshape(n, STRIDE, DIM), across, x)
         np.multiply(o, share, out=both[:, DIM:])
-        h = both @ p["w1"]
+        h = both @ w
         h += p["b1"]
         np.tanh(h, out=h)
-        return h, {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "share": share, "both": both}
+        return h, {"x": x, "across": across, "own": own, "a": a, "share": share, "both": both, "w": w}
 
     def for_scoring(self) -> None:
-        """Works out what an id is as key, value, query and own part of the hidden layer, once for all its places."""
-        p, x = self.p, self.tables.vectors
-        self.kv, self.qs = x @ np.concatenate([p["k"], p["v"]], axis=1), x @ (p["q"] * np.float32(1 / math.sqrt(DIM)))
-        self.of_own = x @ p["w1"][:DIM] + p["b1"]
+        """Works out what an id is as query and own part of the hidden layer, once for all its places."""
+        p, x, (qk, w) = self.p, self.tables.vectors, self._folded()
+        self.qs, self.of_own, self.of_attended = x @ qk, x @ w[:DIM] + p["b1"], w[DIM:]
         self.first = self.tables.first + p["b2"]
         self.second = (self.tables.second.reshape(-1, GROUPS, MEMBERS) + p["b3"]).reshape(-1, MEMBERS)
 
     def hidden_of(self, slab: np.ndarray) -> np.ndarray:
         """The hidden layer at every place that the windows over ``slab`` score, with tables ``for_scoring``."""
         n, own = (len(slab) - CONTEXT) // STRIDE + 1, slab[CONTEXT - STRIDE :]
-        kv = np.take(self.kv, slab, axis=0)
-        # Windows overlap, so theirs are views of the slab's keys and values.
-        k, v = (np.lib.stride_tricks.as_strided(kv[:, a : a + DIM], (n, CONTEXT, DIM), (STRIDE * kv.strides[0], *kv.strides), writeable=False) for a in (0, DIM))
-        _, share, o = self._attended(np.take(self.qs, own, axis=0).reshape(n, STRIDE, DIM), k, v)
+        x = np.take(self.tables.vectors, slab, axis=0)
+        # Windows overlap, so theirs are views of the slab's vectors.
+        x = np.lib.stride_tricks.as_strided(x, (n, CONTEXT, DIM), (STRIDE * x.strides[0], *x.strides), writeable=False)
+        _, share, o = self._attended(np.take(self.qs, own, axis=0).reshape(n, STRIDE, DIM), np.ascontiguousarray(x.swapaxes(1, 2)), x)
         o *= share
-        h = o @ self.p["w1"][DIM:]
+        h = o @ self.of_attended
         h += np.take(self.of_own, own, axis=0)
         return np.tanh(h, out=h)
 
@@ -335,19 +347,18 @@ class AttentionModel:
         dh += np.take(hs, back, axis=0)
         h *= h
         dh -= dh * h
-        d["w1"], d["b1"] = m["both"].T @ dh, _sums(dh)
-        do = dh @ p["w1"][DIM:].T
+        dw, d["b1"] = m["both"].T @ dh, _sums(dh)
+        d["w1"], d["v"] = np.concatenate([dw[:DIM], p["v"].T @ dw[DIM:]]), dw[DIM:] @ p["w1"][DIM:].T
+        do = dh @ m["w"][DIM:].T
         near = (do * m["both"][:, DIM:]) @ np.ones((DIM, 1), dtype=h.dtype)
         near *= m["share"]
         do *= m["share"]
-        do, a = do.reshape(n, STRIDE, DIM), m["a"]
-        ds = do @ m["v"].swapaxes(1, 2)
+        ds = do.reshape(n, STRIDE, DIM) @ m["across"]
         ds -= near.reshape(n, STRIDE, 1)
-        ds *= a
+        ds *= m["a"]
         d["near"] = np.bincount(np.maximum(GAP, 0).reshape(-1), weights=(_sums(ds.reshape(n, -1)) * (GAP >= 0).reshape(-1)), minlength=CONTEXT).astype(h.dtype)
-        d["q"] = m["own"].T @ (ds @ m["k"]).reshape(-1, DIM) * h.dtype.type(1 / math.sqrt(DIM))
-        d["k"] = m["x"].T @ (ds.swapaxes(1, 2) @ m["q"]).reshape(-1, DIM)
-        d["v"] = m["x"].T @ (a.swapaxes(1, 2) @ do).reshape(-1, DIM)
+        dqk = m["own"].T @ (ds @ m["x"]).reshape(-1, DIM) * h.dtype.type(1 / math.sqrt(DIM))
+        d["q"], d["k"] = dqk @ p["k"], dqk.T @ p["q"]
         return -float(loss), np.concatenate([d[k].reshape(-1) for k in SHAPES])
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray, rate: float, last_rate: float) -> None:
